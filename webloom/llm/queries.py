@@ -7,11 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import mixing, packing, splitting, truncation
+from webloom.llm import mixing, neardup, packing, sitelines, splitting, truncation
 from webloom.llm.common import limit
 from webloom.sources.tables import table
 
 
+#: What TESTDATA.md calls similar in problem 2.
+SIMILAR_PAGES = neardup.Settings(shingle=3, threshold=0.7)
+
+
+def _page_texts(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "scanned_pages").select("page_id", F.col("clean_text").alias("text"))
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return neardup.similar_pages(_page_texts(spark, root), SIMILAR_PAGES)
+
+
+def p2_groups(spark: SparkSession, root: str) -> DataFrame:
+    return neardup.groups(_page_texts(spark, root), SIMILAR_PAGES)
+
+
 def p3_pieces(spark: SparkSession, root: str) -> DataFrame:
     size, overlap = limit(spark, root, "chunk")
     items = splitting.pages_and_chunks(table(spark, root, "extracted_pages"), table(spark, root, "chunks"))
@@ -22,6 +38,18 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return p3_pieces(spark, root).where((F.col("n_pieces") > 1) & (F.col("piece_no") == 0)).select("item_kind", "item_id")
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return sitelines.frequent_lines(table(spark, root, "scanned_pages")).select("company_id", "line_norm")
+
+
+def p5_sequences(spark: SparkSession, root: str) -> DataFrame:
+    return sitelines.frequent_sequences(table(spark, root, "scanned_pages"))
+
+
+def p5_cleaned(spark: SparkSession, root: str) -> DataFrame:
+    return sitelines.without_repeated_lines(table(spark, root, "scanned_pages"))
+
+
 def p8_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(table(spark, root, "documents"), limit(spark, root, "container")[0])
 
@@ -59,11 +87,11 @@ def p10_rates(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p3_found, p3_pieces, p8_found, p8_containers, p8_fill, p9_found, p9_mixture, p9_report, p10_found, p10_flags, p10_rates]
+    named = [p2_found, p2_groups, p3_found, p3_pieces, p5_found, p5_sequences, p5_cleaned, p8_found, p8_containers, p8_fill, p9_found, p9_mixture, p9_report, p10_found, p10_flags, p10_rates]
     return {f.__name__: f for f in named}
 
 
-_WORDS = r"len(list_filter(string_split_regex({}, '[ \t\r\n]+'), w -> w <> ''))"
+_WORDS = r"len(list_filter(string_split_regex({}, '[ \t\r\n]+'), lambda w: w <> ''))"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -71,6 +99,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": f"""SELECT DISTINCT 'page' AS item_kind, CAST(fetch_id AS VARCHAR) AS item_id FROM extracted_pages WHERE {_WORDS.format("clean_text")} > 600
             UNION ALL SELECT DISTINCT 'chunk', chunk_id FROM chunks WHERE {_WORDS.format("text")} > 600""",
+        "p5_found": r"""WITH p AS (SELECT DISTINCT page_id, company_id, clean_text FROM scanned_pages),
+            l AS (SELECT DISTINCT company_id, page_id, regexp_replace(lower(trim(regexp_replace(unnest(string_split(clean_text, chr(10))), '[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))), '[0-9]+', '#', 'g') AS line_norm FROM p),
+            n AS (SELECT company_id, count(DISTINCT page_id) AS pages FROM p GROUP BY company_id)
+            SELECT l.company_id, line_norm FROM l JOIN n USING (company_id) WHERE line_norm <> '' GROUP BY l.company_id, line_norm, pages HAVING count(*) >= 5 AND count(*) >= 0.2 * pages""",
         "p8_found": "SELECT DISTINCT doc_id FROM documents WHERE octet_length(encode(text)) > (SELECT max_size FROM size_limits WHERE limit_name = 'container')",
         "p9_found": f"""WITH b AS (SELECT m.source, m.target_share, m.max_repeats, coalesce(sum(d.size), 0) AS size FROM mix_targets m LEFT JOIN {sizes} d ON d.source = m.source GROUP BY ALL)
             SELECT source FROM b WHERE target_share * (SELECT sum(size) FROM b) > max_repeats * size""",

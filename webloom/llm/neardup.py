@@ -17,6 +17,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from webloom.sources.tables import cut
 
@@ -38,7 +39,8 @@ class Settings:
     bands: int = 20
     rows: int = 3
     df_bits: int = 20
-    bucket_limit: int = 64
+    bucket_limit: int = 256
+    least_estimate: float = 0.33
     weighted: bool = True
     seed: int = 11
 
@@ -88,9 +90,10 @@ class Sampler:
         self.log_c = np.log(rng.gamma(2.0, 1.0, n)).astype(np.float32)
         self.factors = rng.integers(1, 2**63, settings.bands * settings.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def band_hashes(self, hashes: np.ndarray, log_weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """One 64-bit bucket for each text and band; every text must have a shingle."""
+    def band_hashes(self, hashes: np.ndarray, log_weight: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One 64-bit bucket for each text and band, and one byte of each sample; every text must have a shingle."""
         s = self.settings
+        sketch = np.empty((len(starts) - 1, s.bands * s.rows), dtype=np.uint8)
         out = np.empty((len(starts) - 1, s.bands), dtype=np.uint64)
         sizes = np.diff(starts)
         shift = np.uint64(64 - self.BITS)
@@ -105,9 +108,11 @@ class Sampler:
                 hit = np.flatnonzero(score == np.repeat(best, sizes))
                 first = hit[np.searchsorted(hit, starts[:-1])]
                 sample = hashes[first] + t[first].astype(np.int64).view(np.uint64) * _GOLDEN
+                sample = _mixed(sample)
+                sketch[:, band * s.rows + row] = sample >> np.uint64(56)
                 mixed = _mixed(mixed * _GOLDEN + sample)
             out[:, band] = mixed
-        return out.view(np.int64)
+        return out.view(np.int64), sketch
 
 
 _CHUNK = 1000
@@ -155,7 +160,10 @@ def _weights(frequencies: np.ndarray, texts: int) -> np.ndarray:
 
 
 def signatures(pages: DataFrame, weights: np.ndarray | None, settings: Settings) -> DataFrame:
-    """``key, n, bucket``: one row for each band of each different text of a partition."""
+    """``key, n, bucket, sketch``: one row for each band of each different text of a partition.
+
+    ``sketch``, a byte of every sample, stands on the first band's row only.
+    """
     spark = pages.sparkSession
     shared = spark.sparkContext.broadcast(weights) if weights is not None else None
     shift = np.uint64(64 - settings.df_bits)
@@ -178,20 +186,64 @@ def signatures(pages: DataFrame, weights: np.ndarray | None, settings: Settings)
                 weight = 1.0 + np.log(counts)
                 if shared is not None:
                     weight = weight * shared.value[(hashes >> shift).astype(np.int64)]
-                bands = sampler.band_hashes(hashes, np.log(weight).astype(np.float32), np.append(0, np.cumsum(sizes)))
-                yield pd.DataFrame({"key": np.repeat(keys, settings.bands), "n": np.repeat(sizes, settings.bands).astype(np.int32), "bucket": bands.ravel()})
+                bands, sketch = sampler.band_hashes(hashes, np.log(weight).astype(np.float32), np.append(0, np.cumsum(sizes)))
+                sketches = np.full(bands.size, None, dtype=object)
+                sketches[:: settings.bands] = [row.tobytes() for row in sketch]
+                yield pd.DataFrame({"key": np.repeat(keys, settings.bands), "n": np.repeat(sizes, settings.bands).astype(np.int32), "bucket": bands.ravel(), "sketch": sketches})
+
+    return pages.select("text").mapInPandas(sign, "key bigint, n int, bucket bigint, sketch binary")
+
+
+class _Filter:
+    """A Bloom filter of fixed size over keys; it may pass other keys, never stops a known one."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @staticmethod
+    def places(keys: np.ndarray, size: int) -> np.ndarray:
+        h = _mixed(keys.view(np.uint64) * _GOLDEN)
+        return np.stack([(h >> np.uint64(k)) & np.uint64(size - 1) for k in (0, 13, 26)]).astype(np.int64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        return self.bits[self.places(keys, len(self.bits))].all(axis=0)
+
+
+def key_filter(keys: DataFrame, bits: int = 22) -> _Filter:
+    """A filter of ``keys(key)``, 2**bits places at any input size; partial filters are merged in two steps."""
+    size = 1 << bits
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, group = np.zeros(size, dtype=bool), 0
+        for batch in batches:
+            own[_Filter.places(batch["key"].to_numpy(), size)] = True
+            group = int(batch["key"].iloc[0]) & 15 if len(batch) else group
+        if own.any():
+            yield pd.DataFrame({"part": [group], "bits": [np.packbits(own).tobytes()]})
 
-    return pages.select("text").mapInPandas(sign, "key bigint, n int, bucket bigint")
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        whole = np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in part["bits"]])
+        return pd.DataFrame({"part": part["part"].iloc[:1], "bits": [whole.tobytes()]})
 
+    found = np.zeros(size // 8, dtype=np.uint8)
+    for row in keys.select("key").mapInPandas(mark, "part int, bits binary").groupBy("part").applyInPandas(merge, "part int, bits binary").collect():  # 16 rows at most
+        found |= np.frombuffer(row["bits"], dtype=np.uint8)
+    return _Filter(np.unpackbits(found).astype(bool))
 
-def shingle_sets(pages: DataFrame, settings: Settings) -> DataFrame:
-    """``key, shingles``: each different text's sorted shingle hashes (32 bits each) as one binary value."""
+
+def shingle_sets(pages: DataFrame, needed: DataFrame, settings: Settings) -> DataFrame:
+    """``key, shingles`` of the needed texts: sorted shingle hashes (32 bits each) as one binary value."""
+    shared = pages.sparkSession.sparkContext.broadcast(key_filter(needed))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = set()
         for batch in batches:
             for texts in _chunks(list(batch["text"])):
-                keys, hashes, _, starts = shingle_batch(texts, settings.shingle)
+                keys = np.array([xxhash.xxh64_intdigest(" ".join(t.lower().split())) for t in texts], dtype=np.uint64).view(np.int64)
+                wanted = [t for t, ok in zip(texts, shared.value.has(keys)) if ok]
+                if not wanted:
+                    continue
+                keys, hashes, _, starts = shingle_batch(wanted, settings.shingle)
                 rows = []
                 for k, key in enumerate(keys.tolist()):
                     if key not in seen:
@@ -200,49 +252,59 @@ def shingle_sets(pages: DataFrame, settings: Settings) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=["key", "shingles"])
 
-    return pages.select("text").mapInPandas(sets, "key bigint, shingles binary")
+    return pages.select("text").mapInPandas(sets, "key bigint, shingles binary").join(needed, "key", "left_semi").dropDuplicates(["key"])
 
 
 def _size_fits(a, b, threshold: float):
     return F.least(a, b) >= threshold * F.greatest(a, b)
 
 
-def candidates(signed: DataFrame, pages: DataFrame, weights: np.ndarray | None, settings: Settings) -> DataFrame:
-    """Pairs ``a, b`` (a < b) of different texts that share a bucket and whose sizes allow the threshold."""
-    from pyspark.sql.window import Window
+def _agreeing(settings: Settings):
+    least = settings.least_estimate * settings.bands * settings.rows
+
+    def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x = np.frombuffer(b"".join(batch["x"]), dtype=np.uint8).reshape(len(batch), -1)
+                y = np.frombuffer(b"".join(batch["y"]), dtype=np.uint8).reshape(len(batch), -1)
+                yield batch.loc[(x == y).sum(axis=1) >= least, ["a", "b"]]
+
+    return agree
+
 
-    once = signed.repartition("bucket").dropDuplicates(["bucket", "key"])
-    shared = once.withColumn("members", F.count("*").over(Window.partitionBy("bucket"))).where("members > 1")
-    member = shared.where(F.col("members") <= settings.bucket_limit).groupBy("bucket").agg(F.collect_list(F.struct("key", "n")).alias("m"))
+def candidates(signed: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a, b`` (a < b) of different texts to compare, and the ``key`` of texts in crowded buckets."""
+    once = signed.select("bucket", "key", "n").repartition("bucket").dropDuplicates(["bucket", "key"])
+    shared = cut(once.withColumn("members", F.count("*").over(Window.partitionBy("bucket"))).where("members > 1"))
+    sketches = signed.where(F.col("sketch").isNotNull()).select("key", "sketch").dropDuplicates(["key"])
+    member = shared.where(F.col("members") <= settings.bucket_limit).join(sketches, "key").groupBy("bucket").agg(F.collect_list(F.struct("key", "n", "sketch")).alias("m"))
     pairs = member.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where("x.key < y.key").where(_size_fits(F.col("x.n"), F.col("y.n"), settings.threshold))
-    return pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")), shared.where(F.col("members") > settings.bucket_limit).select("key").distinct()
+    flat = pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.sketch").alias("x"), F.col("y.sketch").alias("y"))
+    near = flat.mapInPandas(_agreeing(settings), "a bigint, b bigint").distinct()
+    return near, shared.where(F.col("members") > settings.bucket_limit).select("key").distinct()
 
 
-def crowded_candidates(crowded: DataFrame, pages: DataFrame, weights: np.ndarray | None, settings: Settings) -> DataFrame:
+def crowded_candidates(sets: DataFrame, crowded: DataFrame, weights: np.ndarray | None, settings: Settings) -> DataFrame:
     """Every pair of crowded texts that can reach the threshold, by prefix filtering.
 
     Two sets reach a Jaccard similarity t only if their n - ceil(t * n) + 1 rarest shingles
     meet; shingles are ordered by document frequency, then hash.
     """
-    spark = pages.sparkSession
-    shared = spark.sparkContext.broadcast(weights) if weights is not None else None
-    shift = np.uint64(64 - settings.df_bits)
+    shared = sets.sparkSession.sparkContext.broadcast(weights) if weights is not None else None
+    shift = np.uint32(32 - settings.df_bits)
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = set()
         for batch in batches:
-            for texts in _chunks(list(batch["text"])):
-                keys, hashes, _, starts = shingle_batch(texts, settings.shingle)
-                for k, key in enumerate(keys.tolist()):
-                    own = hashes[starts[k] : starts[k + 1]]
-                    if key in seen or not len(own):
-                        continue
-                    seen.add(key)
-                    rare = -shared.value[(own >> shift).astype(np.int64)] if shared is not None else np.zeros(len(own))
-                    order = np.lexsort((own, rare))[: len(own) - int(np.ceil(settings.threshold * len(own))) + 1]
-                    yield pd.DataFrame({"key": key, "n": np.int32(len(own)), "shingle": own[order].view(np.int64)})
-
-    rows = pages.select("text").mapInPandas(prefixes, "key bigint, n int, shingle bigint").join(crowded, "key").dropDuplicates(["key", "shingle"])
+            parts = []
+            for key, raw in zip(batch["key"], batch["shingles"]):
+                own = np.frombuffer(raw, dtype="<u4")
+                rare = -shared.value[own >> shift] if shared is not None else np.zeros(len(own))
+                order = np.lexsort((own, rare))[: len(own) - int(np.ceil(settings.threshold * len(own) - 1e-9)) + 1]
+                parts.append(pd.DataFrame({"key": key, "n": np.int32(len(own)), "shingle": own[order].astype(np.int64)}))
+            if parts:
+                yield pd.concat(parts)
+
+    rows = cut(sets.join(crowded, "key", "left_semi").mapInPandas(prefixes, "key bigint, n int, shingle bigint"))
     x, y = rows.alias("x"), rows.alias("y")
     pairs = x.join(y, "shingle").where("x.key < y.key").where(_size_fits(F.col("x.n"), F.col("y.n"), settings.threshold))
     return pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
@@ -274,14 +336,13 @@ def similar_texts(pages: DataFrame, settings: Settings = Settings()) -> DataFram
     if settings.weighted:
         frequencies = document_frequencies(pages, settings)
         weights = _weights(frequencies, pages.count())
-    signed = signatures(pages, weights, settings)
-    near, crowded = candidates(signed, pages, weights, settings)
-    crowded = cut(crowded)
+    signed = cut(signatures(pages, weights, settings))
+    near, crowded = candidates(signed, settings)
+    near, crowded = cut(near), cut(crowded)
+    needed = near.select(F.col("a").alias("key")).union(near.select("b")).union(crowded).distinct()
+    sets = cut(shingle_sets(pages, cut(needed), settings))
     if not crowded.isEmpty():
-        near = near.unionByName(crowded_candidates(crowded, pages, weights, settings))
-    near = cut(near.distinct())
-    needed = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
-    sets = shingle_sets(pages, settings).join(needed, "key", "left_semi").dropDuplicates(["key"])
+        near = near.unionByName(crowded_candidates(sets, crowded, weights, settings)).distinct()
     left = near.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInPandas(_verify(settings.threshold), "a bigint, b bigint, similarity double")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import mixing, neardup, packing, sitelines, splitting, truncation
+from webloom.llm import encoding, mixing, neardup, packing, sitelines, splitting, truncation
 from webloom.llm.common import limit
 from webloom.sources.tables import table
 
@@ -38,6 +38,15 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return p3_pieces(spark, root).where((F.col("n_pieces") > 1) & (F.col("piece_no") == 0)).select("item_kind", "item_id")
 
 
+def p4_restored(spark: SparkSession, root: str) -> DataFrame:
+    model = encoding.sample_model(table(spark, root, "documents"))
+    return encoding.found(table(spark, root, "fetch_results"), table(spark, root, "extracted_pages"), model)
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return p4_restored(spark, root).select("fetch_id", "field_name")
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return sitelines.frequent_lines(table(spark, root, "scanned_pages")).select("company_id", "line_norm")
 
@@ -87,7 +96,7 @@ def p10_rates(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p2_found, p2_groups, p3_found, p3_pieces, p5_found, p5_sequences, p5_cleaned, p8_found, p8_containers, p8_fill, p9_found, p9_mixture, p9_report, p10_found, p10_flags, p10_rates]
+    named = [p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_restored, p5_found, p5_sequences, p5_cleaned, p8_found, p8_containers, p8_fill, p9_found, p9_mixture, p9_report, p10_found, p10_flags, p10_rates]
     return {f.__name__: f for f in named}
 
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.sources.tables import cut
+
 # Signs that end a sentence, signs that may close it, and marks put at a cut.
 ENDS = r"[.!?。！？]"
 CLOSERS = r"""['"”’»)\]]"""
@@ -26,36 +28,43 @@ _CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{9FFF}"
 _RUNS = r"([\x{3040}-\x{309F}]+|[\x{30A0}-\x{30FF}]+|[\x{3400}-\x{9FFF}\x{3005}]+)"
 _SIGN = "\x03"
 _PAD = "\x02"
+_LINE = "\x04"
 _SMILEY = r"\s[:;]-?[)D]$"
+#: A web or mail address or a tag at the end says nothing about the sentence.
+_ADDRESS = r"(?:^|\s)(?:[a-z]+://\S+|www\.\S+|#\S+|@\S+|\S+@\S+)$"
+
 
+#: Whatever parts words: all signs that are neither letters nor the marks above.
+_APART = r"[\x{00}\x{01}\x{05}-\x{40}\x{5B}-\x{60}\x{7B}-\x{A9}\x{AB}-\x{B4}\x{B6}-\x{B9}\x{BB}-\x{BF}\x{D7}\x{F7}\x{2000}-\x{206F}\x{20A0}-\x{20CF}\x{2100}-\x{2BFF}\x{3000}-\x{3004}\x{3006}-\x{303F}\x{FF00}-\x{FF20}\x{FFF0}-\x{FFFF}]+"
 
-def _sentences(text: Column) -> Column:
-    """Sentences of bare words parted by single spaces; a signed sentence ends with a sign token.
 
-    Digits become 0; in scripts without spaces each run of one kind of sign is a word.
+def _tokens(text: Column) -> Column:
+    """Words of the text; a sentence's last sign is a token, a bare line end another, each followed by two pads.
+
+    Digits and other signs only part words; in scripts without spaces each run of one kind of
+    sign is a word.
     """
-    t = F.regexp_replace(text, f"{ENDS}+{CLOSERS}*(?=\\s|$|[{_CJK}])", f" {_SIGN}\n")
-    t = F.regexp_replace(t, _RUNS, " $1 ")
-    t = F.regexp_replace(t, r"\d+", "0")
-    t = F.regexp_replace(t, f"[^\\p{{L}}\\p{{N}}{_SIGN}\n]*(?:[ \t]+|(?=\n)|(?<=\n)|^|$)[^\\p{{L}}\\p{{N}}{_SIGN}\n]*", " ")
-    return F.split(t, r"\s*\n\s*")
+    start = f" {_PAD} {_PAD} "
+    t = F.regexp_replace(text, f"[.!?！？]+{CLOSERS}*(?=[ \n\t\r]|$)|。+{CLOSERS}*", f" {_SIGN}{start}")
+    t = F.replace(t, F.lit("\n"), F.lit(f" {_LINE}{start}"))
+    t = F.when(F.octet_length(text) > 2 * F.length(text), F.regexp_replace(t, _RUNS, " $1 ")).otherwise(t)
+    return F.split(F.concat(F.lit(start[1:]), F.trim(F.regexp_replace(t, _APART, " "))), " ")
 
 
 def ends_of(documents: DataFrame) -> DataFrame:
     """The last sentence of each document that isn't blank: ``doc_id, source, copy, broken, bullet, comma, open, c1, c2, tail``.
 
     ``broken``: the last sign is damaged; ``open``: no sign ends the sentence once marks put at
-    a cut are taken off; ``comma``: a sign that asks for more text ends it; ``bullet``: the last
+    a cut are taken off, nor an address; ``comma``: a sign that asks for more text ends it; ``bullet``: the last
     line is a list item; c1 and c2 are the words before the last word ``tail``.
     """
-    text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"\s+$", "")
-    df = documents.select("doc_id", "source", F.xxhash64("text").alias("copy"), F.element_at(F.split(text, "\n"), -1).alias("line")).where((F.col("line") != "") & F.col("doc_id").isNotNull())
+    text = F.rtrim(F.coalesce(F.col("text"), F.lit("")), F.lit(" \n\t\r"))
+    df = documents.select("doc_id", "source", F.xxhash64("text").alias("copy"), F.substring_index(text, "\n", -1).alias("line")).where((F.col("line") != "") & F.col("doc_id").isNotNull())
     df = df.withColumn("broken", F.col("line").rlike(BROKEN_TAIL))
     df = df.withColumn("line", F.regexp_replace(F.regexp_replace("line", BROKEN_TAIL, ""), CUT_MARK, ""))
-    df = df.withColumn("open", ~F.regexp_replace("line", _SMILEY, "").rlike(f"{ENDS}{CLOSERS}*\\s*$"))
+    df = df.withColumn("open", ~F.regexp_replace("line", _SMILEY, "").rlike(f"{ENDS}{CLOSERS}*\\s*$|{_ADDRESS}"))
     df = df.withColumn("comma", F.col("line").rlike(r"[,;:、(–€$]\s*$")).withColumn("bullet", F.col("line").rlike(r"^\s*[-*•·–]\s"))
-    last = F.filter(F.split(F.trim(F.element_at(_sentences(F.col("line")), -1)), " +"), lambda w: w != "")
-    df = df.withColumn("w", F.concat(F.array(F.lit(_PAD), F.lit(_PAD), F.lit(_PAD)), last))
+    df = df.withColumn("w", F.concat(F.array(F.lit(_PAD)), F.filter(_tokens(F.col("line")), lambda w: w != "")))
     return df.select("doc_id", "source", "copy", "broken", "bullet", "comma", "open", F.element_at("w", -3).alias("c1"), F.element_at("w", -2).alias("c2"), F.element_at("w", -1).alias("tail"))
 
 
@@ -64,20 +73,11 @@ def trigram_counts(documents: DataFrame) -> DataFrame:
 
     ``context`` is the 64-bit hash of the two words before ``word``; c2 is the nearer one.
     """
-    sentence = documents.select(F.explode(_sentences(F.coalesce(F.col("text"), F.lit("")))).alias("s"))
-    words = sentence.select(F.split(F.trim("s"), " +").alias("w")).where(F.element_at("w", 1) != "")
-    words = words.withColumn("signed", F.element_at("w", -1) == _SIGN).withColumn("n", F.size("w") - F.col("signed").cast("int")).where("n > 0")
-    padded = words.select(F.concat(F.array(F.lit(_PAD), F.lit(_PAD)), F.col("w")).alias("p"), "n", "signed")
-    grams = F.transform(
-        F.sequence(F.lit(0), F.col("n") - 1),
-        lambda i: F.struct(
-            F.xxhash64(F.get("p", i), F.get("p", i + 1)).alias("context"),
-            F.get("p", i + 1).alias("c2"),
-            F.get("p", i + 2).alias("word"),
-            F.when(i < F.col("n") - 1, 0).when(F.col("signed"), 1).otherwise(2).alias("place"),
-        ),
-    )
-    flat = padded.select(F.inline(grams))
+    p = documents.select(_tokens(F.coalesce(F.col("text"), F.lit(""))).alias("p")).withColumn("n", F.size("p"))
+    zipped = F.arrays_zip(F.col("p").alias("c1"), F.slice("p", 2, F.col("n")).alias("c2"), F.slice("p", 3, F.col("n")).alias("word"), F.slice("p", 4, F.col("n")).alias("next"))
+    flat = p.select(F.inline(zipped)).toDF("c1", "c2", "word", "next").where(~F.col("word").isin("", _PAD, _SIGN, _LINE))
+    place = F.when(F.col("next") == _SIGN, 1).when(F.col("next").isNull() | F.col("next").isin("", _LINE), 2).otherwise(0)
+    flat = flat.select(F.xxhash64("c1", "c2").alias("context"), "c2", "word", place.alias("place"))
     count = lambda place: F.sum((F.col("place") == place).cast("bigint"))
     return flat.groupBy("context", "c2", "word").agg(count(0).alias("inside"), count(1).alias("signed"), count(2).alias("bare"))
 
@@ -109,15 +109,15 @@ def truncated(documents: DataFrame, least: int = 2, most_bare: float = 0.05, fra
     don't count as bare ends of other texts.
     """
     documents = documents.select("doc_id", "source", "text")
-    ends = ends_of(documents).dropDuplicates(["doc_id"]).withColumn("context", F.xxhash64("c1", "c2"))
+    ends = cut(ends_of(documents).dropDuplicates(["doc_id"]).withColumn("context", F.xxhash64("c1", "c2")))
     suspects = ends.where(F.col("open") & ~F.col("broken") & (F.col("tail") != _PAD))
-    grams = trigram_counts(documents)
+    grams = cut(trigram_counts(documents))
     three = _evidence(suspects, grams.select("context", "word", "inside", "signed", "bare"), ["context"], "t")
     pairs = grams.groupBy("c2", "word").agg(F.sum("inside").alias("inside"), F.sum("signed").alias("signed"), F.sum("bare").alias("bare"))
     two = _evidence(suspects, pairs, ["c2"], "b")
     scored = suspects.join(three, ["context", "tail"], "left").join(two, ["c2", "tail"], "left").fillna(0)
 
-    def cut(name: str, least: int) -> Column:
+    def decide(name: str, least: int) -> Column:
         whole, longer = F.col(f"{name}_whole"), F.col(f"{name}_longer")
         others = F.greatest(F.col(f"{name}_bare") - F.col(f"{name}_own"), F.lit(0))
         whole_word = ~F.col("bullet") & (whole >= least) & (others <= most_bare * (whole + others))
@@ -125,7 +125,7 @@ def truncated(documents: DataFrame, least: int = 2, most_bare: float = 0.05, fra
         return whole_word | fragment | (F.col("comma") & (whole + longer > 0))
 
     known = F.col("t_whole") + F.col("t_longer") > 0
-    decided = scored.withColumn("truncated", F.when(known, cut("t", least) | ((F.col("t_whole") == 1) & cut("b", least))).otherwise((F.col("c2") != _PAD) & cut("b", least + 1)))
+    decided = scored.withColumn("truncated", F.when(known, decide("t", least) | ((F.col("t_whole") == 1) & decide("b", least))).otherwise((F.col("c2") != _PAD) & decide("b", least + 1)))
     rest = ends.where(~(F.col("open") & ~F.col("broken") & (F.col("tail") != _PAD))).select("doc_id", "source", F.col("broken").alias("truncated"))
     return decided.select("doc_id", "source", "truncated").unionByName(rest)
 

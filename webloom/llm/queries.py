@@ -7,11 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import encoding, mixing, neardup, packing, sitelines, splitting, truncation
+from webloom.llm import encoding, mixing, neardup, packing, residue, sitelines, splitting, truncation
 from webloom.llm.common import limit
 from webloom.sources.tables import table
 
 
+def p1_pages(spark: SparkSession, root: str) -> DataFrame:
+    model = encoding.sample_model(table(spark, root, "documents"))
+    return residue.residue(table(spark, root, "extracted_pages"), model)
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return p1_pages(spark, root).where("spots > 0").select("fetch_id")
+
+
 #: What TESTDATA.md calls similar in problem 2.
 SIMILAR_PAGES = neardup.Settings(shingle=3, threshold=0.7)
 
@@ -96,7 +105,7 @@ def p10_rates(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_restored, p5_found, p5_sequences, p5_cleaned, p8_found, p8_containers, p8_fill, p9_found, p9_mixture, p9_report, p10_found, p10_flags, p10_rates]
+    named = [p1_found, p1_pages, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_restored, p5_found, p5_sequences, p5_cleaned, p8_found, p8_containers, p8_fill, p9_found, p9_mixture, p9_report, p10_found, p10_flags, p10_rates]
     return {f.__name__: f for f in named}
 
 

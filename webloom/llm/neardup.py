@@ -53,7 +53,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def shingle_batch(texts: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(keys, hashes, counts, starts)``: text classes and each text's distinct shingles, sorted by hash.
 
-    Words are lower-cased and split at white space.  ``starts`` has one entry more than texts.
+    Words are lower-cased and split at white space.  ``starts`` has one entry more than texts,
+    which are 1024 at most.
     """
     split = [t.lower().split() for t in texts]
     keys = np.array([xxhash.xxh64_intdigest(" ".join(w)) for w in split], dtype=np.uint64).view(np.int64)
@@ -66,28 +67,26 @@ def shingle_batch(texts: list[str], shingle: int) -> tuple[np.ndarray, np.ndarra
     h = np.zeros(len(first), dtype=np.uint64)
     for k in range(shingle):
         h = _mixed(h * _GOLDEN + word[first + k])
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    # one sort orders texts and shingles: the text's number in the upper 10 bits, 54 bits of the hash
+    both = np.sort((doc.astype(np.uint64) << np.uint64(54)) | (h >> np.uint64(10)))
+    new = np.ones(len(both), dtype=bool)
+    new[1:] = both[1:] != both[:-1]
     at = np.flatnonzero(new)
-    counts = np.diff(np.append(at, len(h)))
-    starts = np.searchsorted(doc[at], np.arange(len(texts) + 1))
-    return keys, h[at], counts, starts
+    counts = np.diff(np.append(at, len(both)))
+    starts = np.searchsorted(both[at], np.arange(len(texts), dtype=np.uint64) << np.uint64(54))
+    return keys, both[at] << np.uint64(10), counts, np.append(starts, len(at))
 
 
 class Sampler:
     """Consistent weighted samples; a sample's random values come from tables indexed by the shingle's hash."""
 
-    BITS = 16
-
     def __init__(self, settings: Settings):
         rng = np.random.default_rng(settings.seed)
-        n = 1 << self.BITS
+        n = 1 << 16
         self.settings = settings
-        self.r = rng.gamma(2.0, 1.0, n).astype(np.float32)
-        self.beta = rng.random(n).astype(np.float32)
-        self.log_c = np.log(rng.gamma(2.0, 1.0, n)).astype(np.float32)
+        r, beta, c = rng.gamma(2.0, 1.0, n), rng.random(n), rng.gamma(2.0, 1.0, n)
+        self.r, self.rate, self.beta = r.astype(np.float32), (1.0 / r).astype(np.float32), beta.astype(np.float32)
+        self.offset = (np.log(c) + r * (beta - 1.0)).astype(np.float32)
         self.factors = rng.integers(1, 2**63, settings.bands * settings.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def band_hashes(self, hashes: np.ndarray, log_weight: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,16 +95,16 @@ class Sampler:
         sketch = np.empty((len(starts) - 1, s.bands * s.rows), dtype=np.uint8)
         out = np.empty((len(starts) - 1, s.bands), dtype=np.uint64)
         sizes = np.diff(starts)
-        shift = np.uint64(64 - self.BITS)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         for band in range(s.bands):
             mixed = np.full(len(sizes), band + 1, dtype=np.uint64)
             for row in range(s.rows):
-                at = ((hashes * self.factors[band * s.rows + row]) >> shift).astype(np.int32)
-                r, beta = self.r[at], self.beta[at]
-                t = np.floor(log_weight / r + beta)
-                score = self.log_c[at] - r * (t - beta + 1)
+                # the upper 16 bits of the product choose the random values
+                at = (hashes * self.factors[band * s.rows + row]).astype("<u8", copy=False).view("<u2")[3::4].astype(np.intp)
+                t = np.floor(log_weight * self.rate.take(at) + self.beta.take(at))
+                score = self.offset.take(at) - self.r.take(at) * t
                 best = np.minimum.reduceat(score, starts[:-1])
-                hit = np.flatnonzero(score == np.repeat(best, sizes))
+                hit = np.flatnonzero(score == best.take(owner))
                 first = hit[np.searchsorted(hit, starts[:-1])]
                 sample = hashes[first] + t[first].astype(np.int64).view(np.uint64) * _GOLDEN
                 sample = _mixed(sample)
@@ -115,7 +114,7 @@ class Sampler:
         return out.view(np.int64), sketch
 
 
-_CHUNK = 1000
+_CHUNK = 400
 
 
 def _chunks(texts: list[str]) -> Iterator[list[str]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import encoding, mixing, neardup, packing, residue, sitelines, splitting, truncation
+from webloom.llm import encoding, language, mixing, neardup, packing, residue, sitelines, splitting, truncation
 from webloom.llm.common import limit
 from webloom.sources.tables import table
 
@@ -68,6 +68,17 @@ def p5_cleaned(spark: SparkSession, root: str) -> DataFrame:
     return sitelines.without_repeated_lines(table(spark, root, "scanned_pages"))
 
 
+def p7_segments(spark: SparkSession, root: str) -> DataFrame:
+    sample = language.labelled_sample(table(spark, root, "documents"))
+    model, _ = language.train(sample)
+    sound = encoding.Plausibility.learn(text for _, text in sample)
+    return language.page_segments(table(spark, root, "extracted_pages"), model, sound)
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return language.mislabelled(p7_segments(spark, root))
+
+
 def p8_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(table(spark, root, "documents"), limit(spark, root, "container")[0])
 
@@ -105,7 +116,7 @@ def p10_rates(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_pages, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_restored, p5_found, p5_sequences, p5_cleaned, p8_found, p8_containers, p8_fill, p9_found, p9_mixture, p9_report, p10_found, p10_flags, p10_rates]
+    named = [p1_found, p1_pages, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_restored, p5_found, p5_sequences, p5_cleaned, p7_found, p7_segments, p8_found, p8_containers, p8_fill, p9_found, p9_mixture, p9_report, p10_found, p10_flags, p10_rates]
     return {f.__name__: f for f in named}
 
 

@@ -53,7 +53,7 @@ def _table(name: str) -> tuple:
         except UnicodeDecodeError:
             chars.append(chr(b))
     text = "".join(chars)
-    return codecs.charmap_build(text), text
+    return {ord(c): b for b, c in reversed(list(enumerate(text)))}, text
 
 
 _TABLES = {name: _table(name) for name in {*READ_AS, *REALLY} - {"utf-8", "cp932", "euc_jp"}}
@@ -99,6 +99,14 @@ class Plausibility:
         pairs = {p: min(UNKNOWN, math.log2(total / n)) for p, n in counts.items() if n > 1}
         return cls(pairs, frozenset(p for p, n in counts.items() if n >= 3))
 
+    def plain(self) -> tuple:
+        """What workers need to rebuild the model; plain values need no import there."""
+        return self.pairs, sorted(self.common)
+
+    @classmethod
+    def of(cls, plain: tuple) -> Plausibility:
+        return cls(plain[0], frozenset(plain[1]))
+
     def cost(self, text: str) -> float:
         get = self.pairs.get
         total = sum(get(p) or (SIGN if p[1] in _COMMON_SIGNS and ord(p[0]) < 0x250 else UNKNOWN) for p in _pairs(text))
@@ -275,11 +283,11 @@ def mend(df: DataFrame, key: str, column: str, model: Plausibility) -> DataFrame
     found.  Sound, null and empty fields give no row; null keys are left out; repeated rows
     count once.  Whole texts are used.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(model.plain())
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        repair = Repair(shared.value)
+        repair = Repair(Plausibility.of(shared.value))
         for batch in batches:
             rows = []
             for k, text in zip(batch["k"], batch["t"]):

@@ -232,14 +232,14 @@ def key_filter(keys: DataFrame, bits: int = 22) -> _Filter:
 
 def shingle_sets(pages: DataFrame, needed: DataFrame, settings: Settings) -> DataFrame:
     """``key, shingles`` of the needed texts: sorted shingle hashes (32 bits each) as one binary value."""
-    shared = pages.sparkSession.sparkContext.broadcast(key_filter(needed))
+    shared = pages.sparkSession.sparkContext.broadcast(key_filter(needed).bits)
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = set()
+        seen, known = set(), _Filter(shared.value)
         for batch in batches:
             for texts in _chunks(list(batch["text"])):
                 keys = np.array([xxhash.xxh64_intdigest(" ".join(t.lower().split())) for t in texts], dtype=np.uint64).view(np.int64)
-                wanted = [t for t, ok in zip(texts, shared.value.has(keys)) if ok]
+                wanted = [t for t, ok in zip(texts, known.has(keys)) if ok]
                 if not wanted:
                     continue
                 keys, hashes, _, starts = shingle_batch(wanted, settings.shingle)

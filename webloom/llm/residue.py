@@ -170,10 +170,10 @@ def residue(pages: DataFrame, model: Plausibility, most_covered: float = 0.3) ->
     ``coverage`` is their share of the text's letters; pages at or above ``most_covered`` are
     excluded.  Null and blank texts give no row; null ids are left out; repeated rows count once.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    shared = pages.sparkSession.sparkContext.broadcast(model.plain())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton, repair = build(), Repair(shared.value)
+        automaton, repair = build(), Repair(Plausibility.of(shared.value))
         for batch in batches:
             found = [judge(automaton, repair.text(t)[1] if t else t, repair.text(x)[1]) for t, x in zip(batch["title"], batch["clean_text"])]
             yield pd.DataFrame({"fetch_id": batch["fetch_id"], "spots": [s for s, _ in found], "coverage": [c for _, c in found]})

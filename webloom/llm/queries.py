@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import encoding, language, mixing, neardup, packing, residue, sitelines, splitting, truncation
+from webloom.llm import boilerplate, encoding, language, mixing, neardup, packing, residue, sitelines, splitting, truncation
 from webloom.llm.common import limit
 from webloom.sources.tables import table
 
@@ -68,6 +68,16 @@ def p5_cleaned(spark: SparkSession, root: str) -> DataFrame:
     return sitelines.without_repeated_lines(table(spark, root, "scanned_pages"))
 
 
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    model = encoding.sample_model(table(spark, root, "documents"))
+    return boilerplate.furniture_lines(table(spark, root, "extracted_pages"), table(spark, root, "fetch_results"), model)
+
+
+def p6_bodies(spark: SparkSession, root: str) -> DataFrame:
+    model = encoding.sample_model(table(spark, root, "documents"))
+    return boilerplate.bodies(table(spark, root, "extracted_pages"), table(spark, root, "fetch_results"), model)
+
+
 def p7_segments(spark: SparkSession, root: str) -> DataFrame:
     sample = language.labelled_sample(table(spark, root, "documents"))
     model, _ = language.train(sample)
@@ -116,7 +126,7 @@ def p10_rates(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_pages, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_restored, p5_found, p5_sequences, p5_cleaned, p7_found, p7_segments, p8_found, p8_containers, p8_fill, p9_found, p9_mixture, p9_report, p10_found, p10_flags, p10_rates]
+    named = [p1_found, p1_pages, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_restored, p5_found, p5_sequences, p5_cleaned, p6_found, p6_bodies, p7_found, p7_segments, p8_found, p8_containers, p8_fill, p9_found, p9_mixture, p9_report, p10_found, p10_flags, p10_rates]
     return {f.__name__: f for f in named}
 
 

@@ -25,8 +25,8 @@ internal error|internal server error|something went wrong|an error occurred|an u
 bad gateway|gateway timeout|the gateway received an invalid answer|from the upstream machine|upstream|service unavailable|service temporarily unavailable|temporarily unavailable|the site is down for maintenance|down for maintenance|will be back shortly|thank you for waiting|under maintenance|this site is under construction|account suspended|this account has been suspended
 session expired|your session has timed out|your session has expired|sign in again|to continue to this page|this link is no longer valid|link has expired|the item|you requested has been removed|is not offered any more|has been removed|request blocked|too many requests|from your network|retry after|seconds|rate limit exceeded|the connection to the origin timed out|connection timed out|contact the site owner|if this keeps happening|ray|incident
 traceback (most recent call last)|fatal error:|call to undefined function|uncaught exception|unhandled exception|stack trace|parse error: syntax error|on line|keyerror:|typeerror:|nullpointerexception|sqlstate|in handler|file "|exception
-seite nicht gefunden|seite wurde nicht gefunden|die angeforderte seite|existiert nicht|wurde nicht gefunden|zugriff verweigert|kein zugriff|keine berechtigung|interner fehler|ein interner fehler|fehler aufgetreten|beim laden ist|ist ein fehler aufgetreten|bitte versuchen sie es später erneut|versuchen sie es|später erneut|wartungsarbeiten|wird gerade gewartet|unsere seite|ist bald wieder erreichbar|nicht verfügbar|vorübergehend nicht erreichbar|sitzung abgelaufen|ihre sitzung ist abgelaufen|fehler
-page introuvable|page non trouvée|la page|demandée n'existe pas|n'existe pas ou plus|n'existe plus|accès refusé|accès interdit|vous n'avez pas le droit|de consulter cette adresse|n'êtes pas autorisé|erreur interne|une erreur est survenue|une erreur s'est produite|veuillez réessayer|plus tard|service indisponible|temporairement indisponible|en maintenance|session expirée|votre session a expiré|erreur
+seite nicht gefunden|seite wurde nicht gefunden|die angeforderte seite|die gewünschte seite|ist leider nicht vorhanden|existiert nicht|wurde nicht gefunden|zugriff verweigert|kein zugriff|keine berechtigung|interner fehler|ein interner fehler|fehler aufgetreten|beim laden ist|ist ein fehler aufgetreten|bitte versuchen sie es später erneut|versuchen sie es|später erneut|wartungsarbeiten|wird gerade gewartet|unsere seite|ist bald wieder erreichbar|nicht verfügbar|vorübergehend nicht erreichbar|sitzung abgelaufen|ihre sitzung ist abgelaufen|fehler
+page introuvable|page non trouvée|la page|demandée n'existe pas|n'existe pas ou plus|n'existe plus|accès refusé|accès interdit|vous n'avez pas le droit|de consulter cette adresse|n'êtes pas autorisé|erreur interne|une erreur est survenue|une erreur s'est produite|veuillez réessayer|merci de réessayer|plus tard|service indisponible|temporairement indisponible|en maintenance|session expirée|votre session a expiré|erreur
 página no encontrada|la página|que busca no existe|no existe|no se ha encontrado|acceso denegado|no tiene permiso|error interno|se ha producido un error|inténtelo de nuevo|más tarde|servicio no disponible|no disponible temporalmente|en mantenimiento|sesión caducada|su sesión ha caducado
 página não encontrada|o endereço|a página|não existe neste servidor|não existe|não foi encontrada|acesso negado|não tem permissão|erro interno|ocorreu um erro|tente novamente|mais tarde|serviço indisponível|em manutenção|sessão expirada|a sua sessão expirou
 pagina niet gevonden|de pagina|bestaat niet meer|of is verplaatst|bestaat niet|niet gevonden|toegang geweigerd|geen toegang|u hebt geen toestemming|interne fout|er is een fout opgetreden|er ging iets mis|probeer het later opnieuw|tijdelijk niet beschikbaar|in onderhoud|sessie verlopen|uw sessie is verlopen
@@ -48,15 +48,15 @@ włącz obsługę javascript|włącz javascript|aby wyświetlić stronę|aby wy
 """
 # Filler in place of content.
 FILLER = """
-text goes here|your text here|your text goes here|add your text here|click to edit|and tell visitors more about you|tell visitors more|your headline goes here|headline goes here|write two or three lines|on what you offer|this is a sample paragraph|replace it with your own words|replace this text|before you publish|sample text|placeholder text|for the introduction|final copy to follow|from the client|dummy content block|dummy content|dummy text|dummy copy|title one.|subtitle two.|body copy three.|body copy|title one|subtitle two|copy three|asdf|qwer|qwerty|tbd|lorem ipsum|insert text here|content coming soon|coming soon|sample page|untitled page|untitled document|hello world|to be announced|blah
-hier steht ihr text|fügen sie hier ihren text ein|ihr text hier|platzhaltertext|klicken sie zum bearbeiten|blindtext|mustertext|beispieltext|hier klicken, um zu bearbeiten
-votre texte ici|ajoutez votre texte|saisissez votre texte ici|cliquez pour modifier|texte d'exemple|texte de remplissage|faux texte|écrivez ici votre texte|votre texte
-escriba aquí su texto|haga clic para editarlo|su texto aquí|añada su texto|texto de ejemplo|texto de relleno|haga clic para editar
-escreva aqui o seu texto|o seu texto aqui|clique para editar|texto de exemplo|adicione o seu texto|insira o seu texto
-uw tekst hier|voeg hier uw tekst toe|klik om te bewerken|voorbeeldtekst|plaats hier uw tekst|typ hier uw tekst
-wpisz tutaj swój tekst|twój tekst tutaj|kliknij, aby edytować|przykładowy tekst|dodaj swój tekst|tu wpisz tekst
-введите здесь текст|ваш текст здесь|введите текст|нажмите, чтобы изменить|пример текста|текст-заполнитель|добавьте свой текст
-ここにテキストを入力|ここに文章を入力|クリックして編集|サンプルテキスト|ダミーテキスト|テキストを入力してください
+text goes here|your text here|your text goes here|add your text here|click to edit|and tell visitors more about you|tell visitors more|your headline goes here|headline goes here|write two or three lines|on what you offer|this is a sample paragraph|replace it with your own words|replace this text|before you publish|sample text|placeholder text|for the introduction|final copy to follow|from the client|dummy content block|dummy content|dummy text|dummy copy|title one.|subtitle two.|body copy three.|body copy|title one|subtitle two|copy three|asdf|qwer|qwerty|tbd|lorem ipsum|insert text here|content coming soon|coming soon|sample page|untitled page|untitled document|hello world|to be announced|test test test|blah blah
+hier steht ihr text|fügen sie hier ihren text ein|ihr text hier|platzhaltertext|klicken sie zum bearbeiten|blindtext|bitte vor der freigabe ersetzen|vor der veröffentlichung ersetzen|mustertext|beispieltext|hier klicken, um zu bearbeiten
+votre texte ici|ajoutez votre texte|saisissez votre texte ici|cliquez pour modifier|texte d'exemple|texte de remplissage|faux texte|à remplacer avant la mise en ligne|à remplacer avant publication|écrivez ici votre texte|votre texte
+escriba aquí su texto|haga clic para editarlo|su texto aquí|añada su texto|texto de ejemplo|texto de relleno|sustituir antes de publicar|haga clic para editar
+escreva aqui o seu texto|o seu texto aqui|clique para editar|texto de exemplo|texto de preenchimento|substituir antes de publicar|adicione o seu texto|insira o seu texto
+uw tekst hier|voeg hier uw tekst toe|klik om te bewerken|voorbeeldtekst|opvultekst|vervangen vóór publicatie|vervangen voor publicatie|plaats hier uw tekst|typ hier uw tekst
+wpisz tutaj swój tekst|twój tekst tutaj|kliknij, aby edytować|przykładowy tekst|tekst zastępczy|zastąpić przed publikacją|dodaj swój tekst|tu wpisz tekst
+введите здесь текст|ваш текст здесь|введите текст|нажмите, чтобы изменить|пример текста|текст-заполнитель|текст-рыба|заменить перед публикацией|добавьте свой текст
+ここにテキストを入力|ここに文章を入力|クリックして編集|サンプルテキスト|ダミーテキスト|仮の文章|公開前に差し替えてください|テキストを入力してください
 """
 # Phrases that other pages hold as well; they count beside a telling phrase only.
 COMMON = """

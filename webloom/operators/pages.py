@@ -13,6 +13,7 @@ from webloom.constants import DEFAULTS, OK_STATUSES, PAGE_TYPES, RETRYABLE_STATU
 from webloom.functions import urls
 from webloom.functions.html import page_fields
 from webloom.functions.text import has_phrase, keyword_text, let, normal_lines, strip
+from webloom.functions.urls import resolve
 
 PARSED = (
     "title string, meta_description string, html_language string, headings array<string>, raw_text string, signal_title string, signal_meta string, "
@@ -84,7 +85,7 @@ def parse_pages(fetched: DataFrame, key: str = "fetch_id") -> DataFrame:
                     fields = page_fields(source)
                 except Exception:  # a broken page is an empty row, not a failed job
                     fields = page_fields("")
-                fields["anchors"] = [{"ord": o, "href": h, "abs_url": urls.resolve(base or "", h), "text": t} for o, h, t in fields["anchors"]]
+                fields["anchors"] = [{"ord": o, "href": h, "abs_url": resolve(base or "", h), "text": t} for o, h, t in fields["anchors"]]
                 rows.append({"k": k, **fields})
             yield pd.DataFrame(rows, columns=["k", *(c.split()[0] for c in PARSED.split(", "))])
 

@@ -35,7 +35,7 @@ def _pairs(text: str) -> list[str]:
     return [a + b for span in _SPAN.findall(" " + text) for a, b in zip(span, span[1:])]
 
 
-_ESCAPED = re.compile(r"\\u[0-9A-Fa-f]{4}|&(?:#\d+|#x[0-9A-Fa-f]+|[A-Za-z]+);")
+_ESCAPED = re.compile(r"\\u[0-9A-Fa-f]{4}")
 _LOST = re.compile(r"[\ufffd\x80-\x84\x86-\x9f]")
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = 24.0
@@ -109,8 +109,8 @@ class Plausibility:
 
     def cost(self, text: str) -> float:
         get = self.pairs.get
-        total = sum(get(p) or (SIGN if p[1] in _COMMON_SIGNS and ord(p[0]) < 0x250 else UNKNOWN) for p in _pairs(text))
-        total += 12.0 * len(_LOST.findall(text))
+        total = sum(get(p) or (SIGN if p[1] in _COMMON_SIGNS and not p[0].isalpha() and ord(p[0]) < 0x250 else UNKNOWN) for p in _pairs(text))
+        total += 12.0 * len(_LOST.findall(text)) + UNKNOWN * len(_ESCAPED.findall(text))
         for word in _WORD.findall(text):  # words that mix scripts or change case inside
             if not word.isascii():
                 latin = sum(c < "\u0250" for c in word)
@@ -207,6 +207,8 @@ class Repair:
 
     def _judge(self, line: str) -> tuple[bool, str]:
         lost = bool(_LOST.search(line))
+        if not self.model.pairs:  # nothing to compare with: only lost signs tell
+            return lost, line
         if not lost and self.model.sound(line):
             return False, line
         for route in self.routes:  # what mended an earlier line is tried first
@@ -215,7 +217,7 @@ class Repair:
                 return True, found
         pairs = _pairs(line)
         rare = sum(p not in self.model.common for p in pairs)
-        if lost or rare >= 3 or 4 * rare >= len(pairs) or "\\u" in line or "&" in line:
+        if lost or rare >= 3 or 4 * rare >= len(pairs) or "\\u" in line:
             best, cost, first, route = search(line, self.model)
             if best != line and first - cost >= 10.0 and cost <= 0.72 * first and self._convinces(line, best):
                 if route and all(step[0] for step in route):

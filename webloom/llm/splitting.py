@@ -32,10 +32,10 @@ def gap_depths(tokens: list[str], gaps: np.ndarray, block: int = BLOCK) -> np.nd
     """Depth of the similarity valley at each gap (a gap g lies before word g)."""
     _, ids = np.unique(np.array([_STRIP.sub("", t.lower()) for t in tokens]), return_inverse=True)
     similarity = np.empty(len(gaps))
-    n = int(ids.max()) + 1 if len(ids) else 0
     for k, g in enumerate(gaps):
-        left = np.bincount(ids[max(0, g - block) : g], minlength=n)
-        right = np.bincount(ids[g : g + block], minlength=n)
+        first = max(0, g - block)
+        _, near = np.unique(ids[first : g + block], return_inverse=True)
+        left, right = np.bincount(near[: g - first], minlength=len(near)), np.bincount(near[g - first :], minlength=len(near))
         norm = np.sqrt(float((left * left).sum()) * float((right * right).sum()))
         similarity[k] = float((left * right).sum()) / norm if norm else 0.0
     depth = np.zeros(len(gaps))

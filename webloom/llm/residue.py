@@ -68,10 +68,12 @@ MOCK_LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
 #: Opening signs of fields that a template should have filled, and what a whole field looks like.
-OPENERS = ("{{", "{%", "<%", "${", "#{", "{$", "%%", "@@", "[[", "__", "xxx_", "[object", "[your ", "[insert ", "[", "{")
+OPENERS = ("{", "<", "$", "%%", "@@", "##", "~~", "__", "xxx_", "[", "*|", "((", "%(", "||", "%")
 FIELD = re.compile(
     r"\{\{[^{}\n]{0,80}\}\}|\{%[^{}\n]{0,80}%\}|<%[^<>\n]{0,80}%>|[$#]\{[^{}\n]{1,60}\}|\{\$[\w.]{1,60}\}|%%[\w.]{1,60}%%|@@[\w.]{1,60}@@|\[\[[^\[\]\n]{1,60}\]\]|__[A-Za-z][A-Za-z0-9.]*(?:_[A-Za-z0-9.]+)*__"
-    r"|XXX_[A-Za-z0-9_.]+_XXX|\[object \w+\]|\[(?:Your|YOUR|Enter|ENTER) [\w .'-]{2,60}\]|\[(?:[Ii]nsert|INSERT|[Aa]dd) [^\[\]\n]{2,60}\]|\[[A-Z][A-Z0-9_.]{3,}(?:[ _][A-Z0-9_.]+)*\]|\[[A-Z]{2,}(?: [A-Z]{2,})+\]|\{\d\}|\{[a-z]+(?:[_.][a-z]+)+\}"
+    r"|XXX_[A-Za-z0-9_.]+_XXX|\[object \w+\]|\[(?:Your|YOUR|Enter|ENTER) [\w .'-]{2,60}\]|\[(?:[Ii]nsert|INSERT|[Aa]dd) [^\[\]\n]{2,60}\]|\[[A-Z][A-Z0-9_.]{3,}(?:[ _][A-Z0-9_.]+)*\]|\[[A-Z]{2,}(?: [A-Z]{2,})+\]|\{\d\}|\{[!#:=]?[A-Za-z][\w.]+\}|\[[a-z]+(?:[A-Z]\w*|[_.]\w+)+\]"
+    r"|\*\|[\w.]+\|\*|<(?!(?:a|abbr|b|body|br|code|div|em|h\d|head|html|i|img|li|p|pre|small|span|strong|table|td|tr|u|ul|ol)\b)[A-Za-z]\w*(?:[ _.-]\w+){0,3}>"
+    r"|([@#~|+^])\1[A-Za-z][\w.]*\1\1|%[A-Za-z]\w*(?:[._]\w+)*%|%\([\w.]+\)[sd]|\(\([A-Za-z]\w*(?:[._]\w+)*\)\)|\$[a-z]\w*[A-Z_]\w*|\$[A-Z]+_[A-Z_]+"
 )
 _SENTENCE = re.compile(r"[^\n.!?。！？]+(?:[.!?。！？]+(?=\s|$)|[。！？]+|[.!?](?=\S)[^\n.!?。！？]*)*|[.!?。！？]+")
 _TITLE_PART = re.compile(r"\s+[-–|·]\s+")
@@ -154,7 +156,7 @@ def judge(automaton, title: str | None, text: str) -> tuple[int, float]:
                 spots += 1
                 held += _letters(m.group())
     if title:
-        spots += len(FIELD.findall(title))
+        spots += sum(1 for _ in FIELD.finditer(title))
         for part in _TITLE_PART.split(title.strip()):
             low = part.lower().strip()
             spans = [(end - size + 1, end + 1, kind) for end, (size, kind) in automaton.iter(low) if kind != OPENING]

@@ -64,7 +64,8 @@ def ends_of(documents: DataFrame) -> DataFrame:
     df = df.withColumn("line", F.regexp_replace(F.regexp_replace("line", BROKEN_TAIL, ""), CUT_MARK, ""))
     df = df.withColumn("open", ~F.regexp_replace("line", _SMILEY, "").rlike(f"{ENDS}{CLOSERS}*\\s*$|{_ADDRESS}"))
     df = df.withColumn("comma", F.col("line").rlike(r"[,;:、(–€$]\s*$")).withColumn("bullet", F.col("line").rlike(r"^\s*[-*•·–]\s"))
-    df = df.withColumn("w", F.concat(F.array(F.lit(_PAD)), F.filter(_tokens(F.col("line")), lambda w: w != "")))
+    # three words at the very end decide; a line's last 600 signs hold them
+    df = df.withColumn("line", F.substring("line", -600, 600)).withColumn("w", F.concat(F.array(F.lit(_PAD)), F.filter(_tokens(F.col("line")), lambda w: w != "")))
     return df.select("doc_id", "source", "copy", "broken", "bullet", "comma", "open", F.element_at("w", -3).alias("c1"), F.element_at("w", -2).alias("c2"), F.element_at("w", -1).alias("tail"))
 
 
@@ -96,7 +97,7 @@ def _evidence(suspects: DataFrame, grams: DataFrame, keys: list[str], name: str)
     )
 
 
-def truncated(documents: DataFrame, least: int = 2, most_bare: float = 0.05, fragment_ratio: int = 20) -> DataFrame:
+def truncated(documents: DataFrame, least: int = 2, most_bare: float = 0.05, fragment_ratio: int = 20, alone_least: int = 20) -> DataFrame:
     """One row a document: ``doc_id, source, truncated``.
 
     Truncated is a document whose last sign is broken, or that ends without a sentence's last
@@ -104,7 +105,8 @@ def truncated(documents: DataFrame, least: int = 2, most_bare: float = 0.05, fra
     before a last sign and, of all places, in at most ``most_bare`` at bare ends of other texts, or
     (b) its last word only begins words that follow the same two words elsewhere, at least
     ``fragment_ratio`` times as often as the last word itself.  The last bigram decides where no
-    other text has the trigram.  List items are held against (b) only.  Null and blank texts are
+    other text has the trigram, and the last word where none has the bigram: one seen
+    ``alone_least`` times but hardly ever at a bare end, or no word but the start of some.  List items are held against (b) only.  Null and blank texts are
     not truncated; null ids are left out; rows delivered twice count once; copies of a cut text
     don't count as bare ends of other texts.
     """
@@ -115,7 +117,8 @@ def truncated(documents: DataFrame, least: int = 2, most_bare: float = 0.05, fra
     three = _evidence(suspects, grams.select("context", "word", "inside", "signed", "bare"), ["context"], "t")
     pairs = grams.groupBy("c2", "word").agg(F.sum("inside").alias("inside"), F.sum("signed").alias("signed"), F.sum("bare").alias("bare"))
     two = _evidence(suspects, pairs, ["c2"], "b")
-    scored = suspects.join(three, ["context", "tail"], "left").join(two, ["c2", "tail"], "left").fillna(0)
+    one = _evidence(suspects.withColumn("any", F.lit(0)), pairs.groupBy("word").agg(F.sum("inside").alias("inside"), F.sum("signed").alias("signed"), F.sum("bare").alias("bare")).withColumn("any", F.lit(0)), ["any"], "u").drop("any")
+    scored = suspects.join(three, ["context", "tail"], "left").join(two, ["c2", "tail"], "left").join(one, "tail", "left").fillna(0)
 
     def decide(name: str, least: int) -> Column:
         whole, longer = F.col(f"{name}_whole"), F.col(f"{name}_longer")
@@ -125,7 +128,11 @@ def truncated(documents: DataFrame, least: int = 2, most_bare: float = 0.05, fra
         return whole_word | fragment | (F.col("comma") & (whole + longer > 0))
 
     known = F.col("t_whole") + F.col("t_longer") > 0
-    decided = scored.withColumn("truncated", F.when(known, decide("t", least) | ((F.col("t_whole") == 1) & decide("b", least))).otherwise((F.col("c2") != _PAD) & decide("b", least + 1)))
+    # after a word that stands nowhere else, the last word's own places decide
+    alone = ~F.col("bullet") & (F.col("c2") != _PAD) & (F.col("b_whole") + F.col("b_longer") == 0)
+    never_last = (F.col("u_whole") >= alone_least) & (F.greatest(F.col("u_bare") - F.col("u_own"), F.lit(0)) <= 0.01 * F.col("u_whole"))
+    no_word = (F.col("u_whole") + F.greatest(F.col("u_bare") - F.col("u_own"), F.lit(0)) == 0) & (F.col("u_longer") >= alone_least) & F.col("tail").rlike(r"^\p{Ll}")
+    decided = scored.withColumn("truncated", F.when(known, decide("t", least) | ((F.col("t_whole") == 1) & decide("b", least))).otherwise(((F.col("c2") != _PAD) & decide("b", least + 1)) | (alone & (never_last | no_word))))
     rest = ends.where(~(F.col("open") & ~F.col("broken") & (F.col("tail") != _PAD))).select("doc_id", "source", F.col("broken").alias("truncated"))
     return decided.select("doc_id", "source", "truncated").unionByName(rest)
 

@@ -74,6 +74,16 @@ def test_language_accuracy_and_segments(spark, model):
     assert language.page_segments(df.limit(0), classifier, sound).count() == 0 and language.train([])[0].languages == ["und"]
 
 
+def test_lost_letters(model):
+    lost = "".join("\ufffd" if ord(c) > 127 else c for c in SOUND[1])
+    assert model[1].languages[model[1].of_lost_text(lost, "en")] == "ru" and model[1].languages[model[1].of_lost_text(lost, "ja-jp")] == "ja"
+
+
+def test_lines_without_last_signs():
+    text = "Menu\nOur team plans the yearly review on working days and records it\nshort line here\nOne. Two words. This is a sentence of text."
+    assert [(n, s[:8]) for n, s in language.sentences(text)] == [(1, "Our team"), (3, "This is ")]
+
+
 def test_truncation(spark):
     base = ["The steady pump keeps the agreed scope for most buyers.", "Our desk plans the agreed scope on working days. It opens the agreed doors for most buyers.", "One team plans the agreed scope during the trial.\nSee also: Pumps"] * 4
     cut = ["We say more. The steady pump keeps the agre", "Our desk plans the agreed scope on", "A line.\nOur desk plans the agreed (more)", "One team plans the agreed scope during […]", "The steady pump keeps the agreed scope for most buy &am", "Our desk plans the �"]

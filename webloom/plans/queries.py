@@ -15,18 +15,18 @@ from webloom.operators import intelligence as intel
 from webloom.operators import pages as paging
 from webloom.operators import retrieval, store
 from webloom.plans.engine import Engine
-from webloom.sources.tables import table
+from webloom.sources.tables import once, table
 
 FETCH = ["fetch_id", "company_id", "url", "final_url", "status", "http_status_code", "html", "elapsed_ms", "error_reason"]
 
 
 def _fetched(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "fetch_results").select(*FETCH).dropDuplicates(["fetch_id"])
+    return once(table(spark, root, "fetch_results").select(*FETCH), "fetch_id")
 
 
 def _pages(spark: SparkSession, root: str) -> DataFrame:
     columns = ["page_id", "scan_id", "company_id", "page_url", "page_type", "page_title", "clean_text", "created_at"]
-    return table(spark, root, "scanned_pages").select(*columns).dropDuplicates(["page_id"])
+    return once(table(spark, root, "scanned_pages").select(*columns), "page_id")
 
 
 def _chunks(spark: SparkSession, root: str) -> DataFrame:

@@ -10,6 +10,22 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with at least as many partitions as there are cores, for stages that compute much a row.
+
+    Only a scan of fewer partitions (one small file) is repartitioned; a large one stays as read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def once(df: DataFrame, key: str) -> DataFrame:
+    """One row a key, in partitions that aren't merged again before the stage that follows."""
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, key).dropDuplicates([key])
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 

@@ -83,3 +83,17 @@ def company_error(company_id: Column) -> Column:
 def envelope(**columns: Column) -> Column:
     """A JSON object of the given columns without null fields."""
     return F.to_json(F.struct(*[c.alias(name) for name, c in columns.items()]))
+
+
+def fail_scans(scans: DataFrame, failures: DataFrame) -> DataFrame:
+    """Scans with those of ``failures(scan_id, message, failed_at)`` set to failed, their message kept as summary."""
+    last = failures.groupBy("scan_id").agg(F.max_by(F.struct("message", "failed_at"), "failed_at").alias("f"))
+    joined = scans.join(last, "scan_id", "left")
+    failed = F.col("f").isNotNull()
+    changed = {"status": F.lit("failed"), "completed_at": F.col("f.failed_at"), "error_summary": F.col("f.message")}
+    return joined.select(*[F.when(failed, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in scans.columns])
+
+
+def error_records(failures: DataFrame) -> DataFrame:
+    """Scan errors of ``failures(scan_id, error_type, message, page_url, created_at)``; no page_url means the whole scan."""
+    return failures.select(row_id("error", "scan_id", "error_type", "message", "page_url", "created_at").alias("error_id"), "scan_id", "error_type", "message", "page_url", "created_at")

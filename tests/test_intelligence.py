@@ -1,7 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
-
 from webloom.operators import intelligence as intel
 from webloom.operators import retrieval, store
 from webloom.plans.engine import Engine

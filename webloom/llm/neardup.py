@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from webloom.sources.tables import cut
+from webloom.sources.tables import cut, cut_table
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -335,7 +335,7 @@ def similar_texts(pages: DataFrame, settings: Settings = Settings()) -> DataFram
     if settings.weighted:
         frequencies = document_frequencies(pages, settings)
         weights = _weights(frequencies, pages.count())
-    signed = cut(signatures(pages, weights, settings))
+    signed = cut_table(signatures(pages, weights, settings))
     near, crowded = candidates(signed, settings)
     near, crowded = cut(near), cut(crowded)
     needed = near.select(F.col("a").alias("key")).union(near.select("b")).union(crowded).distinct()

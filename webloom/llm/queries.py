@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from webloom.llm import boilerplate, encoding, language, mixing, neardup, packing, residue, sitelines, splitting, truncation
 from webloom.llm.common import limit
-from webloom.sources.tables import table
+from webloom.sources.tables import spread, table
 
 
 def p1_pages(spark: SparkSession, root: str) -> DataFrame:
     model = encoding.sample_model(table(spark, root, "documents"))
-    return residue.residue(table(spark, root, "extracted_pages"), model)
+    return residue.residue(spread(table(spark, root, "extracted_pages")), model)
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -26,7 +26,7 @@ SIMILAR_PAGES = neardup.Settings(shingle=3, threshold=0.7)
 
 
 def _page_texts(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "scanned_pages").select("page_id", F.col("clean_text").alias("text"))
+    return spread(table(spark, root, "scanned_pages")).select("page_id", F.col("clean_text").alias("text"))
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
@@ -39,7 +39,7 @@ def p2_groups(spark: SparkSession, root: str) -> DataFrame:
 
 def p3_pieces(spark: SparkSession, root: str) -> DataFrame:
     size, overlap = limit(spark, root, "chunk")
-    items = splitting.pages_and_chunks(table(spark, root, "extracted_pages"), table(spark, root, "chunks"))
+    items = splitting.pages_and_chunks(spread(table(spark, root, "extracted_pages")), table(spark, root, "chunks"))
     return splitting.split_items(items, size, overlap)
 
 
@@ -49,7 +49,7 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p4_restored(spark: SparkSession, root: str) -> DataFrame:
     model = encoding.sample_model(table(spark, root, "documents"))
-    return encoding.found(table(spark, root, "fetch_results"), table(spark, root, "extracted_pages"), model)
+    return encoding.found(spread(table(spark, root, "fetch_results")), spread(table(spark, root, "extracted_pages")), model)
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
@@ -57,32 +57,32 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    return sitelines.frequent_lines(table(spark, root, "scanned_pages")).select("company_id", "line_norm")
+    return sitelines.frequent_lines(spread(table(spark, root, "scanned_pages"))).select("company_id", "line_norm")
 
 
 def p5_sequences(spark: SparkSession, root: str) -> DataFrame:
-    return sitelines.frequent_sequences(table(spark, root, "scanned_pages"))
+    return sitelines.frequent_sequences(spread(table(spark, root, "scanned_pages")))
 
 
 def p5_cleaned(spark: SparkSession, root: str) -> DataFrame:
-    return sitelines.without_repeated_lines(table(spark, root, "scanned_pages"))
+    return sitelines.without_repeated_lines(spread(table(spark, root, "scanned_pages")))
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     model = encoding.sample_model(table(spark, root, "documents"))
-    return boilerplate.furniture_lines(table(spark, root, "extracted_pages"), table(spark, root, "fetch_results"), model)
+    return boilerplate.furniture_lines(spread(table(spark, root, "extracted_pages")), spread(table(spark, root, "fetch_results")), model)
 
 
 def p6_bodies(spark: SparkSession, root: str) -> DataFrame:
     model = encoding.sample_model(table(spark, root, "documents"))
-    return boilerplate.bodies(table(spark, root, "extracted_pages"), table(spark, root, "fetch_results"), model)
+    return boilerplate.bodies(spread(table(spark, root, "extracted_pages")), spread(table(spark, root, "fetch_results")), model)
 
 
 def p7_segments(spark: SparkSession, root: str) -> DataFrame:
     sample = language.labelled_sample(table(spark, root, "documents"))
     model, _ = language.train(sample)
     sound = encoding.Plausibility.learn(text for _, text in sample)
-    return language.page_segments(table(spark, root, "extracted_pages"), model, sound)
+    return language.page_segments(spread(table(spark, root, "extracted_pages")), model, sound)
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
@@ -90,7 +90,7 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, root: str) -> DataFrame:
-    return packing.pack(table(spark, root, "documents"), limit(spark, root, "container")[0])
+    return packing.pack(spread(table(spark, root, "documents")), limit(spark, root, "container")[0])
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
@@ -114,7 +114,7 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p10_flags(spark: SparkSession, root: str) -> DataFrame:
-    return truncation.truncated(table(spark, root, "documents"))
+    return truncation.truncated(spread(table(spark, root, "documents")))
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:

@@ -18,12 +18,11 @@ from webloom.sources.tables import cut
 ENDS = r"[.!?。！？]"
 CLOSERS = r"""['"”’»)\]]"""
 #: A broken sign at the very end: an unfinished tag, entity or escape, or replacement characters.
-BROKEN_TAIL = r"(?:<[A-Za-z/!]?[^<>\n]*|&#?[A-Za-z0-9]{0,7}|\\u?[0-9A-Fa-f]{0,4}|\x{FFFD}+)$"
+BROKEN_TAIL = r"(?:<(?:[A-Za-z/!][^<>\n]*)?|&(?:#x?[0-9A-Fa-f]{0,6}|[a-z]{0,6})|\\u?[0-9A-Fa-f]{0,4}|\x{FFFD}+)$"
 CUT_MARK = (
     r"\s*(?:\((?:more|mehr|suite|más|mais|meer|więcej|ещё|далее|続き)\)|\[(?:\.\.\.|…)\]|(?:\.\.\.|…)»?|»|→|>>"
     r"|(?:\.\.\.|…)?\s*(?:Read more|Continue reading|Weiterlesen|Lire la suite|Leer más|Ler mais|Lees meer|Czytaj dalej|Читать далее|続きを読む))\s*$"
 )
-_CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{9FFF}"
 #: Scripts without spaces: each run of one kind of sign counts as a word.
 _RUNS = r"([\x{3040}-\x{309F}]+|[\x{30A0}-\x{30FF}]+|[\x{3400}-\x{9FFF}\x{3005}]+)"
 _SIGN = "\x03"

@@ -34,7 +34,7 @@ _ADDRESS = r"(?:^|\s)(?:[a-z]+://\S+|www\.\S+|#\S+|@\S+|\S+@\S+)$"
 
 
 #: Whatever parts words: all signs that are neither letters nor the marks above.
-_APART = r"[\x{00}\x{01}\x{05}-\x{40}\x{5B}-\x{60}\x{7B}-\x{A9}\x{AB}-\x{B4}\x{B6}-\x{B9}\x{BB}-\x{BF}\x{D7}\x{F7}\x{2000}-\x{206F}\x{20A0}-\x{20CF}\x{2100}-\x{2BFF}\x{3000}-\x{3004}\x{3006}-\x{303F}\x{FF00}-\x{FF20}\x{FFF0}-\x{FFFF}]+"
+_APART = r"[^\p{L}\x{02}-\x{04}]+"
 
 
 def _tokens(text: Column) -> Column:
@@ -44,9 +44,11 @@ def _tokens(text: Column) -> Column:
     sign is a word.
     """
     start = f" {_PAD} {_PAD} "
-    t = F.regexp_replace(text, f"[.!?！？]+{CLOSERS}*(?=[ \n\t\r]|$)|。+{CLOSERS}*", f" {_SIGN}{start}")
+    unspaced = F.octet_length(text) > 2 * F.length(text)
+    t = F.when(unspaced, F.replace(text, F.lit("。"), F.lit("。 "))).otherwise(text)
+    t = F.regexp_replace(t, f"{ENDS}{CLOSERS}*(?:[ \n\t\r]|$)", f" {_SIGN}{start}")
     t = F.replace(t, F.lit("\n"), F.lit(f" {_LINE}{start}"))
-    t = F.when(F.octet_length(text) > 2 * F.length(text), F.regexp_replace(t, _RUNS, " $1 ")).otherwise(t)
+    t = F.when(unspaced, F.regexp_replace(t, _RUNS, " $1 ")).otherwise(t)
     return F.split(F.concat(F.lit(start[1:]), F.trim(F.regexp_replace(t, _APART, " "))), " ")
 
 

@@ -61,7 +61,7 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_sequences(spark: SparkSession, root: str) -> DataFrame:
-    return sitelines.frequent_sequences(spread(table(spark, root, "scanned_pages")))
+    return sitelines.closed_sequences(spread(table(spark, root, "scanned_pages")))
 
 
 def p5_cleaned(spark: SparkSession, root: str) -> DataFrame:

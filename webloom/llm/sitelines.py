@@ -3,15 +3,22 @@
 Every page is a sequence of line identifiers.  PrefixSpan grows frequent sequences from
 single lines: the pages that hold a frequent prefix are projected to what follows it, and only
 projected rows are counted for the next, longer prefix.  Support is the number of different
-pages of the source.  Occurrences of frequent sequences are deleted from the texts.
+pages of the source.  Lines may be skipped between two lines of a sequence, and growth ends
+where no longer sequence is frequent; closed sequences come out, and prefixes that can't lead
+to one are not grown (BIDE).  Occurrences of frequent sequences are deleted from the texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from webloom.llm.neardup import _Filter, key_filter
 from webloom.sources.tables import cut, cut_table
 
 _SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -82,11 +89,137 @@ def frequent_sequences(pages: DataFrame, least_pages: int = 5, least_share: floa
     return found.join(spelled, "company_id").select("company_id", F.transform("prefix", lambda x: F.element_at("names", x)).alias("sequence"), F.size("prefix").alias("length"), "support")
 
 
+def page_sequences(pages: DataFrame) -> DataFrame:
+    """``company_id, page, texts``: one row a page with the line hashes of each of its different texts (null text: no lines)."""
+    known = pages.select("page_id", "company_id", "clean_text").where(F.col("page_id").isNotNull() & F.col("company_id").isNotNull())
+    normal = F.filter(F.transform(F.split(F.coalesce("clean_text", F.lit("")), "\n"), normal_line), lambda x: x != "")
+    rows = known.select("company_id", F.xxhash64("page_id").alias("page"), F.transform(normal, lambda x: F.xxhash64(x)).alias("lines"))
+    return rows.groupBy("company_id", "page").agg(F.collect_set("lines").alias("texts"))
+
+
+def _instances(text: list[int], prefix: list[int]) -> tuple[list[int], list[int], list[int]] | None:
+    """Places of the first instance of a prefix, of its last instance, and of the last one within the first; None if the text lacks it."""
+    first, at = [], -1
+    try:
+        for x in prefix:
+            at = text.index(x, at + 1)
+            first.append(at)
+    except ValueError:
+        return None
+    last, within = [], []
+    for found, end in ((last, len(text)), (within, first[-1] + 1)):
+        for x in reversed(prefix):
+            end -= 1
+            while text[end] != x:
+                end -= 1
+            found.append(end)
+        found.reverse()
+    return first, last, within
+
+
+#: Kinds of the lines counted for a prefix: itself, a line after it, in a gap of any instance, in a gap of the first instance.
+_SELF, _AFTER, _BETWEEN, _WITHIN = range(4)
+
+
+def _extensions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines by which the prefix of each row can be extended: ``whole`` is 1 where all the row's texts with the prefix hold the line there."""
+    for batch in batches:
+        rows = []
+        for company, prefix, texts, pages in zip(batch["company_id"], batch["prefix"], batch["texts"], batch["pages"]):
+            prefix = list(map(int, prefix))
+            each = []
+            for text in texts:
+                text = list(map(int, text))
+                if (places := _instances(text, prefix)) is None:
+                    continue
+                first, last, within = places
+                own = {(_AFTER, 0, x) for x in text[first[-1] + 1 :]}
+                for k in range(len(prefix)):
+                    start = first[k - 1] + 1 if k else 0
+                    own |= {(_BETWEEN, k, x) for x in text[start : last[k]]} | {(_WITHIN, k, x) for x in text[start : within[k]]}
+                each.append(own)
+            if each:
+                rows.append((company, prefix, _SELF, 0, 0, pages, 1))
+                common = set.intersection(*each)
+                rows += [(company, prefix, *x, pages, int(x in common)) for x in set.union(*each)]
+        yield pd.DataFrame(rows, columns=["company_id", "prefix", "kind", "place", "line", "pages", "whole"])
+
+
+def _closed(pages: DataFrame, least_pages: int, least_share: float) -> tuple[DataFrame, DataFrame]:
+    """``company_id, prefix, support`` of the closed frequent sequences of line hashes, and ``company_id, line, holder`` of the frequent lines.
+
+    Pages of one source that hold the same frequent lines in the same order are one row with
+    their number.  Every level counts all extensions of its prefixes in one aggregation, so no
+    source and no prefix has to fit into one task.
+    """
+    texts = cut_table(page_sequences(pages))
+    needed = texts.groupBy("company_id").agg(F.count("*").alias("n")).select("company_id", F.greatest(F.lit(least_pages), F.ceil(F.col("n") * F.lit(least_share) - F.lit(1e-9))).cast("bigint").alias("least"))
+    counted = texts.select("company_id", "page", F.explode(F.array_distinct(F.flatten("texts"))).alias("line")).groupBy("company_id", "line").agg(F.count("*").alias("support"), F.min("page").alias("holder"))
+    single = cut(counted.where(F.col("support") >= least_pages).join(needed, "company_id").where("support >= least"))
+    least = single.select("company_id", "least").distinct()
+    # a source's frequent lines: at most 1 / least_share times the lines of its mean page
+    lines = single.groupBy("company_id").agg(F.collect_set("line").alias("frequent")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    joined = texts.withColumn("salt", F.pmod("page", F.lit(SALT)).cast("int")).join(lines, ["company_id", "salt"])
+    reduced = F.array_distinct(F.transform("texts", lambda t: F.filter(t, lambda x: F.array_contains("frequent", x))))
+    rows = joined.select("company_id", F.array_sort(F.filter(reduced, lambda t: F.size(t) > 0)).alias("texts")).where(F.size("texts") > 0)
+    rows = cut(rows.groupBy("company_id", "texts").agg(F.count("*").alias("pages")))
+    projected = rows.select("*", F.explode(F.array_distinct(F.flatten("texts"))).alias("line")).withColumn("prefix", F.array("line")).drop("line")
+    found = None
+    while True:
+        grown = projected.select("company_id", "prefix", "texts", "pages").mapInPandas(_extensions, "company_id string, prefix array<bigint>, kind int, place int, line bigint, pages bigint, whole bigint")
+        counts = cut(grown.groupBy("company_id", "prefix", "kind", "place", "line").agg(F.sum("pages").alias("pages"), F.sum("whole").alias("whole")))
+        of = counts.where(F.col("kind") == _SELF).select("company_id", "prefix", F.col("pages").alias("support"), F.col("whole").alias("all"))
+        held = counts.where(F.col("kind") != _SELF).join(of.select("company_id", "prefix", "all"), ["company_id", "prefix"]).where(F.col("whole") == F.col("all"))
+        longer = held.groupBy("company_id", "prefix").agg(F.max((F.col("kind") == _WITHIN).cast("int")).alias("stuck"), F.max((F.col("kind") != _WITHIN).cast("int")).alias("open"))
+        state = cut(of.join(longer, ["company_id", "prefix"], "left").select("company_id", "prefix", "support", F.coalesce("stuck", F.lit(0)).alias("stuck"), F.coalesce("open", F.lit(0)).alias("open")))
+        closed = state.where("open = 0").select("company_id", "prefix", "support")
+        found = closed if found is None else found.unionByName(closed)
+        after = counts.where(F.col("kind") == _AFTER).join(state.where("stuck = 0").select("company_id", "prefix"), ["company_id", "prefix"])
+        kept = cut(after.join(least, "company_id").where("pages >= least").groupBy("company_id", "prefix").agg(F.collect_list("line").alias("next")))
+        if kept.isEmpty():
+            return found, single.select("company_id", "line", "holder")
+        ahead = projected.join(kept, ["company_id", "prefix"]).select("company_id", "prefix", "texts", "pages", F.explode("next").alias("line"))
+        projected = cut_table(ahead.select("company_id", F.concat("prefix", F.array("line")).alias("prefix"), "texts", "pages"))
+
+
+def _spelled(pages: DataFrame, lines: DataFrame) -> DataFrame:
+    """``company_id, line, line_norm`` of ``lines(company_id, line, holder)``, read from the pages that hold them."""
+    shared = pages.sparkSession.sparkContext.broadcast(key_filter(lines.select(F.col("holder").alias("key"))).bits)
+
+    @F.pandas_udf("boolean")
+    def holds(keys: pd.Series) -> pd.Series:
+        return pd.Series(_Filter(shared.value).has(keys.to_numpy(dtype=np.int64)))
+
+    held = pages.where(F.col("page_id").isNotNull() & holds(F.xxhash64("page_id")))
+    named = page_lines(held).select("company_id", F.xxhash64("line_norm").alias("line"), "line_norm", F.col("page").alias("holder"))
+    return named.join(lines, ["company_id", "line", "holder"]).select("company_id", "line", "line_norm").distinct()
+
+
+def closed_sequences(pages: DataFrame, least_pages: int = 5, least_share: float = 0.2) -> DataFrame:
+    """All closed frequent line sequences ``company_id, sequence (array of normalised lines), length, support``.
+
+    A sequence's lines stand on a page in this order, with any lines between; it may have any
+    length.  Closed: no longer sequence stands in the same texts, so every frequent sequence is
+    part of one that comes out with the same support.  A page delivered with different texts
+    counts once where any of them holds the sequence.
+    """
+    found, lines = _closed(pages, least_pages, least_share)
+    names = _spelled(pages, lines).groupBy("company_id").agg(F.map_from_entries(F.collect_list(F.struct("line", "line_norm"))).alias("names"))
+    return found.join(names, "company_id").select("company_id", F.transform("prefix", lambda x: F.element_at("names", x)).alias("sequence"), F.size("prefix").alias("length"), "support")
+
+
+def sequence_lines(pages: DataFrame, least_pages: int = 5, least_share: float = 0.2) -> DataFrame:
+    """``company_id, line_norm``: the lines of the mined sequences."""
+    found, lines = _closed(pages, least_pages, least_share)
+    held = found.select("company_id", F.explode("prefix").alias("line")).distinct()
+    return held.join(_spelled(pages, lines), ["company_id", "line"]).select("company_id", "line_norm")
+
+
 def without_repeated_lines(pages: DataFrame, least_pages: int = 5, least_share: float = 0.2) -> DataFrame:
     """Each page without its source's frequent lines: ``page_id, company_id, clean_text, removed_lines``.
 
     Every line of a frequent sequence is itself a frequent sequence of one line, so deleting
-    the frequent lines deletes all occurrences of frequent sequences.  Pages of null source or
+    the lines of the mined sequences deletes all their occurrences.  Pages of null source or
     text come out unchanged; null ids are left out; repeated rows count once.
     """
     lines = frequent_lines(pages, least_pages, least_share).groupBy("company_id").agg(F.collect_set("line").alias("frequent"))

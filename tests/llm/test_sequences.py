@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from webloom.llm import sitelines
+from webloom.llm import queries, sitelines
 
 
 def subsequences(lines):
@@ -40,3 +40,11 @@ def test_page_with_two_texts_counts_once(spark):
     df = spark.createDataFrame(rows, "company_id string, page_id string, clean_text string")
     got = {tuple(r["sequence"]): r["support"] for r in sitelines.closed_sequences(df).collect()}
     assert got[("x", "y")] == 5 and set(got.values()) == {5}
+
+
+def test_registered_queries_mine_sequences(spark, small, monkeypatch):
+    runs, mine = [], sitelines._closed
+    monkeypatch.setattr(sitelines, "_closed", lambda *a: runs.append(a) or mine(*a))
+    for query in (queries.p5_found, queries.p5_sequences, queries.p5_cleaned):
+        query(spark, small)
+    assert len(runs) == 3

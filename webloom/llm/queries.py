@@ -57,7 +57,7 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    return sitelines.frequent_lines(spread(table(spark, root, "scanned_pages"))).select("company_id", "line_norm")
+    return sitelines.sequence_lines(spread(table(spark, root, "scanned_pages")))
 
 
 def p5_sequences(spark: SparkSession, root: str) -> DataFrame:

@@ -222,7 +222,8 @@ def without_repeated_lines(pages: DataFrame, least_pages: int = 5, least_share:
     the lines of the mined sequences deletes all their occurrences.  Pages of null source or
     text come out unchanged; null ids are left out; repeated rows count once.
     """
-    lines = frequent_lines(pages, least_pages, least_share).groupBy("company_id").agg(F.collect_set("line").alias("frequent"))
+    mined = _closed(pages, least_pages, least_share)[0].select("company_id", F.explode("prefix").alias("line"))
+    lines = mined.groupBy("company_id").agg(F.collect_set("line").alias("frequent"))
     salted = lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     rows = pages.select("page_id", "company_id", "clean_text").where(F.col("page_id").isNotNull()).dropDuplicates(["page_id"]).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int"))
     joined = rows.join(salted, ["company_id", "salt"], "left")

@@ -19,14 +19,17 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from webloom.llm import markup
 from webloom.llm import residue as residues
 from webloom.llm.encoding import Plausibility, Repair
 from webloom.sources.tables import cut
 
-#: Pages of a host that are compared with each other; larger hosts are cut into blocks of about this size.
+#: Pages of a host in URL order that one task holds; the pages beside a block are read with it.
 BLOCK_PAGES = 200
+#: Pages read on each side of a block.
+EDGE_PAGES = 16
 #: Neighbours on each side in URL order.
 NEIGHBOURS = 4
 #: The same line more often than this on one page is told apart by its number, which bounds the alignment's work.
@@ -190,7 +193,10 @@ def _slots(lines: list[int], kinds: list[int]) -> list[int]:
 
 
 def difference(group: pd.DataFrame) -> pd.DataFrame:
-    """Furniture and open lines of one block of a host: ``fetch_id, line_no, furniture, parts``."""
+    """Furniture and open lines of one block of a host: ``fetch_id, line_no, furniture, parts``.
+
+    Pages of the next blocks (``edge``) are compared with the block's own, but give no rows.
+    """
     group = group.sort_values(["path", "fetch_id"], kind="stable")
     pages = []
     for row in group.itertuples(index=False):
@@ -203,6 +209,7 @@ def difference(group: pd.DataFrame) -> pd.DataFrame:
         tokens = _slots(lines, kinds)
         running = {x for x, k in zip(lines, kinds) if k in (markup.TEXT, _UNKNOWN) and x}
         pages.append((row.fetch_id, lines, kinds, parts, tokens, running, row.filled, row.labels))
+    edges = group["edge"].tolist()
     shared = [set() for _ in pages]
     for x in range(len(pages)):
         for y in range(x + 1, min(len(pages), x + 1 + NEIGHBOURS)):
@@ -226,7 +233,9 @@ def difference(group: pd.DataFrame) -> pd.DataFrame:
             elif k == markup.TEXT and n in own:
                 deleted_text.add(lines[n])
     rows = []
-    for (fetch_id, lines, kinds, parts, _, _, filled, short), own in zip(pages, shared):
+    for (fetch_id, lines, kinds, parts, _, _, filled, short), own, edge in zip(pages, shared, edges):
+        if edge:
+            continue
         state = [False] * len(lines)
         for n, k in enumerate(kinds):
             if not lines[n]:
@@ -264,6 +273,25 @@ def _signed(values: list[int]) -> list[int]:
     return np.array(values, dtype=np.uint64).view(np.int64).tolist()
 
 
+def url_ranks(place: DataFrame) -> DataFrame:
+    """``place(fetch_id, host, path)`` with ``rank``, from 0, of each page in its host's URL order.
+
+    Pages are sorted by ranges, which cut large hosts; a range's pages are numbered and the
+    ranges before it, counted first, are added.
+    """
+    ranges = cut(place.repartitionByRange("host", "path", "fetch_id").withColumn("slice", F.spark_partition_id()))
+    within = ranges.withColumn("number", F.row_number().over(Window.partitionBy("host", "slice").orderBy("path", "fetch_id")))
+    before = Window.partitionBy("host").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy("host", "slice").agg(F.count("*").alias("n")).select("host", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return within.join(sizes, ["host", "slice"]).select("fetch_id", "host", "path", (F.col("offset") + F.col("number") - 1).alias("rank"))
+
+
+def url_blocks(place: DataFrame, block: int = BLOCK_PAGES, edge: int = EDGE_PAGES) -> DataFrame:
+    """``fetch_id, host, path, block, edge``: each page in its block of neighbours, and as an edge of the blocks beside it."""
+    numbers = F.sequence(F.floor((F.greatest(F.col("rank") - edge, F.lit(0))) / block), F.floor((F.col("rank") + edge) / block))
+    return url_ranks(place).withColumn("block", F.explode(numbers)).select("fetch_id", "host", "path", "block", (F.col("block") != F.floor(F.col("rank") / block)).alias("edge"))
+
+
 def furniture_lines(pages: DataFrame, fetched: DataFrame, model: Plausibility, least_hosts: int = 2) -> DataFrame:
     """Lines of page furniture: ``fetch_id, line_no`` (from 1).
 
@@ -273,12 +301,10 @@ def furniture_lines(pages: DataFrame, fetched: DataFrame, model: Plausibility, l
     stands beside other furniture.
     """
     once = pages.where(F.col("fetch_id").isNotNull())
-    place = once.select("fetch_id", host_of(F.coalesce("url", F.lit(""))).alias("host"), path_of(F.coalesce("url", F.lit(""))).alias("path")).dropDuplicates(["fetch_id"])
+    place = once.where("clean_text <> ''").select("fetch_id", host_of(F.coalesce("url", F.lit(""))).alias("host"), path_of(F.coalesce("url", F.lit(""))).alias("path")).dropDuplicates(["fetch_id"])
     tokens = page_tokens(once, model).dropDuplicates(["fetch_id"])
     layout = layout_tokens(fetched, model).dropDuplicates(["fetch_id"])
-    joined = place.join(tokens, "fetch_id").join(layout, "fetch_id", "left")
-    hosts = place.groupBy("host").agg(F.ceil(F.count("*") / BLOCK_PAGES).alias("blocks"))
-    blocked = joined.join(hosts, "host").withColumn("block", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int"))
+    blocked = url_blocks(place).join(tokens, "fetch_id").join(layout, "fetch_id", "left")
     schema = "fetch_id bigint, line_no int, furniture boolean, parts array<bigint>, host string"
     judged = cut(blocked.groupBy("host", "block").applyInPandas(_with_host, schema))
     known = judged.where("furniture").select("host", F.explode("parts").alias("part")).distinct().groupBy("part").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= least_hosts).select("part")

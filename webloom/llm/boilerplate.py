@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -192,6 +193,31 @@ def _slots(lines: list[int], kinds: list[int]) -> list[int]:
     return tokens
 
 
+def _body(lines: list[int], kinds: list[int], labels: bytes) -> frozenset[int]:
+    """Running lines of a page but for copyright lines and texts before a button."""
+    answered = [a == markup.TEXT and b == markup.BUTTON for a, b in zip(kinds, [*kinds[1:], None])]
+    return frozenset(x for x, k, label, before in zip(lines, kinds, labels, answered) if x and k in (markup.TEXT, _UNKNOWN) and label != _NOTICE and not before)
+
+
+def copy_test(pages: list[list[int]], running: list[frozenset[int]]) -> Callable[[int, int], bool]:
+    """Whether two pages of a block are copies of one page, which share their body.
+
+    Lines that stand on many different pages (at least 3, and a quarter of them; equal pages
+    count once) are no body.  Copies are equal pages, or pages with equal bodies, or pages
+    that share more than one line and over half of the shorter body.
+    """
+    different = set(running)
+    often = Counter(x for lines in different for x in lines)
+    bodies = [frozenset(x for x in lines if often[x] < max(3, len(different) / 4)) for lines in running]
+
+    def copies(x: int, y: int) -> bool:
+        a, b = bodies[x], bodies[y]
+        both = len(a & b)
+        return pages[x] == pages[y] or (both > 0 and a == b) or (both > 1 and both * 2 > min(len(a), len(b)))
+
+    return copies
+
+
 def difference(group: pd.DataFrame) -> pd.DataFrame:
     """Furniture and open lines of one block of a host: ``fetch_id, line_no, furniture, parts``.
 
@@ -207,19 +233,20 @@ def difference(group: pd.DataFrame) -> pd.DataFrame:
         parts = np.frombuffer(row.parts, dtype="<u8").tolist()
         parts = [parts[a:b] for a, b in zip(cuts, cuts[1:])]
         tokens = _slots(lines, kinds)
-        running = {x for x, k in zip(lines, kinds) if k in (markup.TEXT, _UNKNOWN) and x}
-        pages.append((row.fetch_id, lines, kinds, parts, tokens, running, row.filled, row.labels))
+        pages.append((row.fetch_id, lines, kinds, parts, tokens, _body(lines, kinds, row.labels), row.filled, row.labels))
     edges = group["edge"].tolist()
     shared = [set() for _ in pages]
+    copies = copy_test([p[1] for p in pages], [p[5] for p in pages])
+    pairs: set[tuple[int, int]] = set()
     for x in range(len(pages)):
-        for y in range(x + 1, min(len(pages), x + 1 + NEIGHBOURS)):
-            a, b = pages[x], pages[y]
-            both = len(a[5] & b[5])
-            if both > 1 and both * 2 > min(len(a[5]), len(b[5])):
-                continue  # copies of one page share their body
-            for i, j in align(a[4], b[4]):
-                shared[x].add(i)
-                shared[y].add(j)
+        # the nearest pages on both sides that aren't copies of this one
+        ahead = (y for y in range(x + 1, min(len(pages), x + 1 + EDGE_PAGES)) if not copies(x, y))
+        behind = (y for y in range(x - 1, max(-1, x - 1 - EDGE_PAGES), -1) if not copies(x, y))
+        pairs |= {(min(x, y), max(x, y)) for side in (ahead, behind) for y in islice(side, NEIGHBOURS)}
+    for x, y in pairs:
+        for i, j in align(pages[x][4], pages[y][4]):
+            shared[x].add(i)
+            shared[y].add(j)
     # texts of shared lines, and labels of links, hold for the whole block
     deleted: set[int] = set()
     deleted_text: set[int] = set()

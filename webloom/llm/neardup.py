@@ -1,8 +1,11 @@
 """Near-duplicate records with small edits (problem 2).
 
-Word shingles are weighted by TF-IDF and sampled by improved consistent weighted sampling:
-two texts agree on a sample with the probability of their weighted Jaccard similarity.  Bands
-of samples are hashed to buckets; texts of a bucket are compared exactly.  Equal texts form
+Word shingles of a text's set are weighted by damped inverse document frequency and sampled by
+improved consistent weighted sampling: two texts agree on a sample with the probability of
+their weighted Jaccard similarity.  A repeated passage leaves the set as it is, so how often a
+shingle stands in a text doesn't count.  The weights are damped so far that bands find any pair
+at the threshold.  Bands of samples are hashed to buckets; texts of a bucket are compared
+exactly.  Equal texts form
 one class from the start and are compared once.  Document frequencies are counted over all
 texts, in a table of hashed shingles of fixed size.
 """
@@ -31,7 +34,10 @@ class Settings:
 
     ``df_bits``: size of the hashed document-frequency table, 2**df_bits counters.  Buckets of
     more than ``bucket_limit`` different texts are joined through their rarest shingles instead
-    of pair by pair, which finds every pair that reaches the threshold.
+    of pair by pair, which finds every pair that reaches the threshold.  Bands miss a pair at
+    the threshold, however its weights lie, with a probability of ``most_missed`` at most; pairs
+    whose estimate is under ``least_estimate``, or 4 standard deviations under the least
+    weighted similarity of such a pair if that is lower, aren't compared.
     """
 
     shingle: int = 5
@@ -41,9 +47,27 @@ class Settings:
     df_bits: int = 20
     bucket_limit: int = 256
     least_estimate: float = 0.33
+    most_missed: float = 0.002
     weighted: bool = True
     seed: int = 11
 
+    @property
+    def heaviest(self) -> float:
+        """The largest weight, where the least is 1: 2, or less if bands would miss pairs at the threshold."""
+        needed = (1.0 - self.most_missed ** (1.0 / self.bands)) ** (1.0 / self.rows)
+        return float(np.clip(self.threshold * (1.0 - needed) / (needed * max(1.0 - self.threshold, 1e-9)), 1.0, 2.0))
+
+    @property
+    def least_weighted(self) -> float:
+        """The least weighted similarity of two sets at the threshold: what they share weighs 1, the rest ``heaviest``."""
+        return self.threshold / (self.threshold + (1.0 - self.threshold) * (self.heaviest if self.weighted else 1.0))
+
+    @property
+    def least_agreeing(self) -> float:
+        """Samples on which two texts agree at least to be compared."""
+        n, p = self.bands * self.rows, self.least_weighted
+        return min(self.least_estimate * n, n * p - 4.0 * (n * p * (1.0 - p)) ** 0.5)
+
 
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * _MIX
@@ -152,10 +176,10 @@ def document_frequencies(pages: DataFrame, settings: Settings) -> np.ndarray:
     return frequencies
 
 
-def _weights(frequencies: np.ndarray, texts: int) -> np.ndarray:
-    """Damped inverse document frequency of each counter, 1 to 2."""
+def _weights(frequencies: np.ndarray, texts: int, heaviest: float) -> np.ndarray:
+    """Damped inverse document frequency of each counter, 1 to ``heaviest``."""
     top = np.log(texts + 1.0)
-    return (1.0 + np.log((texts + 1.0) / np.maximum(frequencies, 1)).clip(0) / max(top, 1e-9)).astype(np.float32)
+    return (1.0 + (heaviest - 1.0) * np.log((texts + 1.0) / np.maximum(frequencies, 1)).clip(0) / max(top, 1e-9)).astype(np.float32)
 
 
 def signatures(pages: DataFrame, weights: np.ndarray | None, settings: Settings) -> DataFrame:
@@ -171,7 +195,7 @@ def signatures(pages: DataFrame, weights: np.ndarray | None, settings: Settings)
         sampler, seen = Sampler(settings), set()
         for batch in batches:
             for texts in _chunks(list(batch["text"])):
-                keys, hashes, counts, starts = shingle_batch(texts, settings.shingle)
+                keys, hashes, _, starts = shingle_batch(texts, settings.shingle)
                 fresh = np.zeros(len(texts), dtype=bool)
                 for k, key in enumerate(keys.tolist()):
                     if key not in seen:
@@ -181,10 +205,8 @@ def signatures(pages: DataFrame, weights: np.ndarray | None, settings: Settings)
                     continue
                 sizes = np.diff(starts)
                 keep = np.repeat(fresh, sizes)
-                hashes, counts, sizes, keys = hashes[keep], counts[keep], sizes[fresh], keys[fresh]
-                weight = 1.0 + np.log(counts)
-                if shared is not None:
-                    weight = weight * shared.value[(hashes >> shift).astype(np.int64)]
+                hashes, sizes, keys = hashes[keep], sizes[fresh], keys[fresh]
+                weight = shared.value[(hashes >> shift).astype(np.int64)] if shared is not None else np.ones(len(hashes), dtype=np.float32)
                 bands, sketch = sampler.band_hashes(hashes, np.log(weight).astype(np.float32), np.append(0, np.cumsum(sizes)))
                 sketches = np.full(bands.size, None, dtype=object)
                 sketches[:: settings.bands] = [row.tobytes() for row in sketch]
@@ -259,7 +281,7 @@ def _size_fits(a, b, threshold: float):
 
 
 def _agreeing(settings: Settings):
-    least = settings.least_estimate * settings.bands * settings.rows
+    least = settings.least_agreeing
 
     def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -334,7 +356,7 @@ def similar_texts(pages: DataFrame, settings: Settings = Settings()) -> DataFram
     weights = None
     if settings.weighted:
         frequencies = document_frequencies(pages, settings)
-        weights = _weights(frequencies, pages.count())
+        weights = _weights(frequencies, pages.count(), settings.heaviest)
     signed = cut_table(signatures(pages, weights, settings))
     near, crowded = candidates(signed, settings)
     near, crowded = cut(near), cut(crowded)

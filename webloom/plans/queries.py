@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.constants import IGNORED_SEGMENTS, IGNORED_SUFFIXES, KNOWN_SCHEMES, LAST_PRIORITY, LINK_WEIGHTS, PAGE_PRIORITY, PAGE_TYPES, URL_WEIGHT
+from webloom.constants import DEFAULTS, IGNORED_SEGMENTS, IGNORED_SUFFIXES, KNOWN_SCHEMES, LAST_PRIORITY, LINK_WEIGHTS, PAGE_PRIORITY, PAGE_TYPES, URL_WEIGHT
 from webloom.functions import text as texts
 from webloom.functions import urls
 from webloom.operators import chunks as chunking
@@ -101,11 +101,19 @@ def fetch_statuses(spark, root):
     return _fetched(spark, root).select("fetch_id", status.alias("status"), paging.is_ok(status).alias("is_ok"), paging.is_retryable(status).alias("is_retryable"))
 
 
+def _rebuilt(spark, root, largest: int):
+    responses = _fetched(spark, root).select("url", "final_url", F.col("http_status_code").alias("status_code"), (F.col("url") != F.col("final_url")).cast("int").alias("n_redirects"), F.col("html").alias("body"), "elapsed_ms", F.when(F.col("http_status_code").isNull(), F.coalesce("error_reason", F.lit("no answer"))).alias("error"))
+    return paging.fetch_rows(responses, largest=largest)
+
+
 def fetch_rows(spark, root):
     """Fetch results rebuilt from responses under a small size limit, so that every branch is taken."""
-    responses = _fetched(spark, root).select("url", "final_url", F.col("http_status_code").alias("status_code"), (F.col("url") != F.col("final_url")).cast("int").alias("n_redirects"), F.col("html").alias("body"), "elapsed_ms", F.when(F.col("http_status_code").isNull(), F.coalesce("error_reason", F.lit("no answer"))).alias("error"))
-    rows = paging.fetch_rows(responses, largest=4000)
-    return rows.groupBy("status", "error_reason").agg(F.count("*").alias("fetches"), F.count("html").alias("with_html"), F.sum(F.length("html")).alias("signs"))
+    return _rebuilt(spark, root, 4000).groupBy("status", "error_reason").agg(F.count("*").alias("fetches"), F.count("html").alias("with_html"), F.sum(F.length("html")).alias("signs"))
+
+
+def fetch_rows_whole(spark, root):
+    """One row a fetch, rebuilt from its whole response under the limit used in production."""
+    return _rebuilt(spark, root, DEFAULTS["MAX_CONTENT_SIZE_BYTES"])
 
 
 def page_chunks(spark, root):
@@ -204,7 +212,7 @@ def nearest_vectors(spark, root):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
-        census_page_types, pages_extracted, links_discovered, url_normalized, url_canonical, url_page_types, link_relevance, internal_pages, title_keywords, normal_texts, fetch_statuses, fetch_rows, page_chunks, page_sentences,
+        census_page_types, pages_extracted, links_discovered, url_normalized, url_canonical, url_page_types, link_relevance, internal_pages, title_keywords, normal_texts, fetch_statuses, fetch_rows, fetch_rows_whole, page_chunks, page_sentences,
         context_chunks, context_texts, chunk_pages_joined, chunk_orphans, scan_counters, scan_last_errors, latest_scans, scans_inserted, page_records, intelligence_grounded, scan_statuses, nearest_vectors,
     ]
     return {f.__name__: f for f in named}

@@ -2,9 +2,10 @@
 
 Pages of a host are put in the order of their URL paths and each is compared with its nearest
 neighbours: their lines are aligned by longest common subsequence and shared lines deleted.
-The layout in the html says which lines are slots of links, whose texts differ while the slot
-is shared, and which headings belong to the body.  What was deleted on several hosts is
-deleted where no neighbour showed it.
+A run of labels is deleted where it holds a shared line; what was deleted on several hosts is
+deleted where no neighbour showed it.  The html only breaks ties: it tells headings and
+running text from labels, and which runs are links, whose texts differ while the place is shared.
+Without it, pages are judged by their lines alone.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
@@ -33,8 +35,6 @@ BLOCK_PAGES = 200
 EDGE_PAGES = 16
 #: Neighbours on each side in URL order.
 NEIGHBOURS = 4
-#: The same line more often than this on one page is told apart by its number, which bounds the alignment's work.
-_REPEATS = 20
 _SPLIT = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|\s+(?:[/»>›|·•→]|&gt;)\s+")
 _DIGITS = re.compile(r"[0-9]+")
 _UNKNOWN = 9
@@ -97,10 +97,9 @@ def page_tokens(pages: DataFrame, model: Plausibility) -> DataFrame:
                     own = _parts(line)
                     lines.append(_hash(line) if line.strip() else 0)
                     parts += own
-                    sizes.append(min(len(own), 65535))
-                    del parts[len(parts) - len(own) + sizes[-1] :]
+                    sizes.append(len(own))
                 filled = residues.judge(automaton, title, text)[1] >= 0.3
-                rows.append((fetch_id, _pack(lines), _pack(parts), np.array(sizes, dtype="<u2").tobytes(), bytes(labels), filled))
+                rows.append((fetch_id, _pack(lines), _pack(parts), np.array(sizes, dtype="<u4").tobytes(), bytes(labels), filled))
             yield pd.DataFrame(rows, columns=["fetch_id", "lines", "parts", "sizes", "labels", "filled"])
 
     known = pages.select("fetch_id", "title", "clean_text").where(F.col("clean_text") != "")
@@ -149,12 +148,12 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def _numbered(tokens: list[int]) -> list[int]:
-    """Tokens with later repeats told apart; blank ones match nothing."""
+    """Tokens with repeats told apart by their number; blank ones match nothing."""
     seen: dict[int, int] = defaultdict(int)
     found = []
     for n, token in enumerate(tokens):
         seen[token] += 1
-        found.append(-1 - n if not token else token if seen[token] <= _REPEATS else hash((token, seen[token])))
+        found.append(-1 - n if not token else token if seen[token] == 1 else hash((token, seen[token])))
     return found
 
 
@@ -176,23 +175,6 @@ def line_kinds(lines: list[int], shown: list[int], kinds: bytes) -> list[int]:
     return [by_text.get(x, k) if k == _UNKNOWN else k for x, k in zip(lines, result)]
 
 
-_LINK_SLOT = 1
-
-
-def _slots(lines: list[int], kinds: list[int]) -> list[int]:
-    """What is aligned in place of each line: its text, or one slot for a run of links; blank lines and body headings match nothing."""
-    seen: dict[int, int] = defaultdict(int)
-    tokens = []
-    for n, (x, k) in enumerate(zip(lines, kinds)):
-        if not x or k == markup.HEADING or (k == markup.LINK and n and kinds[n - 1] == markup.LINK):
-            tokens.append(-1 - n)
-            continue
-        token = _LINK_SLOT if k == markup.LINK else x
-        seen[token] += 1
-        tokens.append(token if seen[token] <= _REPEATS else hash((token, seen[token])))
-    return tokens
-
-
 def _body(lines: list[int], kinds: list[int], labels: bytes) -> frozenset[int]:
     """Running lines of a page but for copyright lines and texts before a button."""
     answered = [a == markup.TEXT and b == markup.BUTTON for a, b in zip(kinds, [*kinds[1:], None])]
@@ -218,82 +200,169 @@ def copy_test(pages: list[list[int]], running: list[frozenset[int]]) -> Callable
     return copies
 
 
-def difference(group: pd.DataFrame) -> pd.DataFrame:
-    """Furniture and open lines of one block of a host: ``fetch_id, line_no, furniture, parts``.
-
-    Pages of the next blocks (``edge``) are compared with the block's own, but give no rows.
+#: What is said of a line: deleted; open until other hosts are heard; doubtful (the last label before running text
+#: may be its heading); alone (a label between two running lines, a heading).
+FURNITURE, OPEN, DOUBTFUL, ALONE = 1, 0, 2, 3
+
+
+@dataclass
+class _Page:
+    fetch_id: int
+    lines: list[int]
+    kinds: list[int]
+    parts: list[list[int]]
+    labels: bytes
+    filled: bool
+    edge: bool
+
+    def __post_init__(self):
+        #: Lines that aren't blank, and the number of the run of labels that each is in (-1: running text or heading).
+        self.places = [n for n, x in enumerate(self.lines) if x]
+        self.run = [-1] * len(self.lines)
+        self.runs: list[list[int]] = []
+        before = False
+        for n in self.places:
+            k = self.kinds[n]
+            inside = k in (markup.LINK, markup.BUTTON, markup.LOOSE) or (k == _UNKNOWN and self.labels[n] > 0)
+            if inside:
+                if not before:
+                    self.runs.append([])
+                self.run[n] = len(self.runs) - 1
+                self.runs[-1].append(n)
+            before = inside
+        #: Lines that nothing but the text shows to be labels and that may be headings of what follows.
+        self.alone, self.doubtful = set(), set()
+        for own in self.runs:
+            n = own[-1]
+            if self.kinds[n] == _UNKNOWN and self.labels[n] == _LABEL and n != self.places[-1]:
+                (self.alone if len(own) == 1 else self.doubtful).add(n)
+
+    def links(self, run: list[int]) -> bool:
+        return any(self.kinds[n] == markup.LINK for n in run)
+
+    def slots(self) -> list[int]:
+        """The place of each run: before, between or after the running lines."""
+        running = [n for n in self.places if self.run[n] < 0 and self.kinds[n] != _UNKNOWN]
+        return [0 if not running or run[0] < running[0] else 2 if run[0] > running[-1] else 1 for run in self.runs]
+
+    def tokens(self) -> list[int]:
+        """What is aligned of each line: its text; headings, blank lines and labels that stand alone match nothing."""
+        silent = [n for n, k in enumerate(self.kinds) if k == markup.HEADING or n in self.alone]
+        return _numbered([0 if n in silent else x for n, x in enumerate(self.lines)]) if silent else _numbered(self.lines)
+
+
+def _read_page(row) -> _Page:
+    lines = np.frombuffer(row.lines, dtype="<u8").tolist()
+    kinds = [_UNKNOWN] * len(lines) if row.shown is None else line_kinds(lines, np.frombuffer(row.shown, dtype="<u8").tolist(), row.kinds)
+    cuts = np.concatenate(([0], np.cumsum(np.frombuffer(row.sizes, dtype="<u4"), dtype=np.int64))).tolist()
+    parts = np.frombuffer(row.parts, dtype="<u8").tolist()
+    return _Page(row.fetch_id, lines, kinds, [parts[a:b] for a, b in zip(cuts, cuts[1:])], row.labels, row.filled, row.edge)
+
+
+def shared_lines(pages: list[_Page]) -> list[set[int]]:
+    """The lines that each page of a block, in URL order, shares with its nearest neighbours that aren't copies of it.
+
+    A page with runs of labels that none of these neighbours shares, say one in another language,
+    is aligned with the nearest pages of the block that hold a line of such a run.
     """
-    group = group.sort_values(["path", "fetch_id"], kind="stable")
-    pages = []
-    for row in group.itertuples(index=False):
-        lines = np.frombuffer(row.lines, dtype="<u8").tolist()
-        kinds = [_UNKNOWN] * len(lines) if row.shown is None else line_kinds(lines, np.frombuffer(row.shown, dtype="<u8").tolist(), row.kinds)
-        sizes = np.frombuffer(row.sizes, dtype="<u2").tolist()
-        cuts = np.concatenate(([0], np.cumsum(sizes))).tolist()
-        parts = np.frombuffer(row.parts, dtype="<u8").tolist()
-        parts = [parts[a:b] for a, b in zip(cuts, cuts[1:])]
-        tokens = _slots(lines, kinds)
-        pages.append((row.fetch_id, lines, kinds, parts, tokens, _body(lines, kinds, row.labels), row.filled, row.labels))
-    edges = group["edge"].tolist()
-    shared = [set() for _ in pages]
-    copies = copy_test([p[1] for p in pages], [p[5] for p in pages])
+    shared: list[set[int]] = [set() for _ in pages]
+    tokens = [p.tokens() for p in pages]
+    copies = copy_test([p.lines for p in pages], [_body(p.lines, p.kinds, p.labels) for p in pages])
     pairs: set[tuple[int, int]] = set()
+
+    def compare(x: int, y: int) -> None:
+        pair = (min(x, y), max(x, y))
+        if pair not in pairs:
+            pairs.add(pair)
+            for i, j in align(tokens[pair[0]], tokens[pair[1]]):
+                shared[pair[0]].add(i)
+                shared[pair[1]].add(j)
+
     for x in range(len(pages)):
-        # the nearest pages on both sides that aren't copies of this one
-        ahead = (y for y in range(x + 1, min(len(pages), x + 1 + EDGE_PAGES)) if not copies(x, y))
-        behind = (y for y in range(x - 1, max(-1, x - 1 - EDGE_PAGES), -1) if not copies(x, y))
-        pairs |= {(min(x, y), max(x, y)) for side in (ahead, behind) for y in islice(side, NEIGHBOURS)}
-    for x, y in pairs:
-        for i, j in align(pages[x][4], pages[y][4]):
-            shared[x].add(i)
-            shared[y].add(j)
-    # texts of shared lines, and labels of links, hold for the whole block
-    deleted: set[int] = set()
-    deleted_text: set[int] = set()
-    labels: set[int] = set()
-    for (_, lines, kinds, _, _, _, _, _), own in zip(pages, shared):
-        for n, k in enumerate(kinds):
-            if k in (markup.LINK, markup.BUTTON):
-                labels.add(lines[n])
-            elif k == markup.LOOSE and n in own:
-                deleted.add(lines[n])
-            elif k == markup.TEXT and n in own:
-                deleted_text.add(lines[n])
-    rows = []
-    for (fetch_id, lines, kinds, parts, _, _, filled, short), own, edge in zip(pages, shared, edges):
-        if edge:
-            continue
-        state = [False] * len(lines)
-        for n, k in enumerate(kinds):
-            if not lines[n]:
-                continue
-            following = next((kinds[m] for m in range(n + 1, len(kinds)) if lines[m]), None)
-            if k in (markup.LINK, markup.BUTTON):
-                state[n] = True
-            elif k == markup.LOOSE:
-                state[n] = n in own or lines[n] in deleted or following == markup.LINK or (len(parts[n]) > 1 and all(p in labels for p in parts[n]))
-        for n, k in enumerate(kinds):  # short labels in a row, or beside other furniture
-            if k == markup.LOOSE and short[n] and not state[n]:
-                near = [m for m in (n - 1, n + 1) if 0 <= m < len(kinds)]
-                state[n] = any(state[m] or (kinds[m] == markup.LOOSE and short[m]) for m in near)
-        for n, k in enumerate(kinds):  # running text: shared, and set among other furniture
-            if k not in (markup.TEXT, _UNKNOWN) or not lines[n]:
-                continue
-            beside = (state[n - 1] if n else True) or (state[n + 1] if n + 1 < len(lines) else True)
+        for side in (range(x + 1, min(len(pages), x + 1 + EDGE_PAGES)), range(x - 1, max(-1, x - 1 - EDGE_PAGES), -1)):
+            for y in islice((y for y in side if not copies(x, y)), NEIGHBOURS):
+                compare(x, y)
+    holders: dict[int, list[int]] = defaultdict(list)
+    for x, page in enumerate(pages):
+        for line in {page.lines[n] for run in page.runs for n in run if n not in page.alone}:
+            holders[line].append(x)
+    for x, page in enumerate(pages):
+        for run in page.runs:
+            own = [n for n in run if n not in page.alone]
+            if own and shared[x].isdisjoint(own):
+                near = sorted({y for n in own for y in _nearest(holders[page.lines[n]], x)}, key=lambda y: (abs(x - y), y))
+                for y in islice((y for y in near if not copies(x, y)), NEIGHBOURS):
+                    compare(x, y)
+    return shared
+
+
+def _nearest(places: list[int], x: int) -> list[int]:
+    """Of sorted places, up to NEIGHBOURS on either side of ``x``."""
+    k = bisect_left(places, x)
+    return places[max(0, k - NEIGHBOURS) : k] + places[k + 1 : k + 1 + NEIGHBOURS]
+
+
+def judge_page(page: _Page, told: list[bool], seeded: list[bool], deleted: set[int]) -> list[tuple]:
+    """Rows ``fetch_id, line_no, state, run, parts`` of one page: what is deleted, and what other hosts may yet show to be furniture.
+
+    ``told``: lines that are shared; ``seeded``: runs that are deleted; ``deleted``: texts of the
+    block's shared lines.  Labels of a deleted run go along with its shared lines; what is neither
+    shared nor a label stays.  Running text is deleted where it is shared and stands among deleted lines.
+    """
+    lines, kinds, parts, short = page.lines, page.kinds, page.parts, page.labels
+    state = [False] * len(lines)
+    for run, sure in zip(page.runs, seeded):
+        for n in run:
+            state[n] = sure and n not in page.alone and (told[n] or (n not in page.doubtful and (kinds[n] != markup.LOOSE or short[n] > 0 or (len(parts[n]) > 1 and all(p in deleted for p in parts[n])))))
+    place = {n: k for k, n in enumerate(page.places)}
+
+    def beside(n: int) -> list[int | None]:
+        k = place[n]
+        return [page.places[k - 1] if k else None, page.places[k + 1] if k + 1 < len(page.places) else None]
+
+    goes = list(page.run)  # the run that a line goes along with, if other hosts show it to be furniture
+    for n in page.places:  # running text: shared, and set among other furniture
+        if page.run[n] < 0 and kinds[n] != markup.HEADING:
+            before, after = beside(n)
+            among = any(m is None or state[m] for m in (before, after))
             if short[n] == _NOTICE:
-                state[n] = beside
-            elif not filled:
-                answered = k == markup.TEXT and n + 1 < len(kinds) and kinds[n + 1] == markup.BUTTON
-                state[n] = answered or (beside and (n in own or lines[n] in deleted_text))
-        for n, k in enumerate(kinds):
-            if not lines[n] or k == markup.HEADING:
-                continue
-            beside = (n == 0 or state[n - 1]) or (n + 1 == len(lines) or state[n + 1])
-            if state[n]:
-                rows.append((fetch_id, n + 1, True, [] if k == markup.LINK else _signed(parts[n])))
-            elif k == markup.LOOSE or (beside and not filled and len(parts[n]) <= 4):
-                rows.append((fetch_id, n + 1, False, _signed(parts[n])))
-    return pd.DataFrame(rows, columns=["fetch_id", "line_no", "furniture", "parts"])
+                state[n] = among
+                goes[n] = max(page.run[m] for m in (before, after) if m is not None) if len(page.places) > 1 else -1
+            elif not page.filled:
+                answered = after is not None and kinds[n] == markup.TEXT and kinds[after] == markup.BUTTON
+                state[n] = (answered and state[after]) or (among and told[n])
+                goes[n] = page.run[after] if answered else -1
+    rows = []
+    for n in page.places:
+        if state[n]:
+            rows.append((page.fetch_id, n + 1, FURNITURE, page.run[n], _signed(parts[n]) if told[n] or page.run[n] < 0 else []))
+        elif n in page.alone or kinds[n] == markup.HEADING:
+            rows.append((page.fetch_id, n + 1, ALONE, -1, _signed(parts[n])))
+        elif n in page.doubtful:
+            rows.append((page.fetch_id, n + 1, DOUBTFUL, page.run[n], _signed(parts[n])))
+        elif page.run[n] >= 0:
+            rows.append((page.fetch_id, n + 1, OPEN, page.run[n] if short[n] or kinds[n] in (markup.LINK, markup.BUTTON) else -1, _signed(parts[n])))
+        elif goes[n] >= 0 or (not page.filled and len(parts[n]) <= 4 and any(m is None or state[m] or page.run[m] >= 0 for m in beside(n))):
+            rows.append((page.fetch_id, n + 1, OPEN, goes[n], _signed(parts[n])))
+    return rows
+
+
+def difference(group: pd.DataFrame) -> pd.DataFrame:
+    """Deleted and open lines of one block of a host: ``fetch_id, line_no, state, run, parts``.
+
+    Pages of the next blocks (``edge``) are compared with the block's own, but give no rows.
+    """
+    pages = [_read_page(row) for row in group.sort_values(["path", "fetch_id"], kind="stable").itertuples(index=False)]
+    shared = shared_lines(pages)
+    # the text of a shared line holds for the whole block
+    deleted = {p.lines[n] for p, own in zip(pages, shared) for n in own if n not in p.doubtful}
+    told = [[n in own or x in deleted for n, x in enumerate(p.lines)] for p, own in zip(pages, shared)]
+    # a run of labels is deleted if it holds a shared line, or links in the place of deleted links of other pages
+    seeded = [[any(sure[n] and n not in p.alone for n in run) for run in p.runs] for p, sure in zip(pages, told)]
+    slots = {slot for p, sure in zip(pages, seeded) for run, slot, yes in zip(p.runs, p.slots(), sure) if yes and p.links(run)}
+    seeded = [[yes or (p.links(run) and slot in slots) for run, slot, yes in zip(p.runs, p.slots(), sure)] for p, sure in zip(pages, seeded)]
+    rows = [row for k, page in enumerate(pages) if not page.edge for row in judge_page(page, told[k], seeded[k], deleted)]
+    return pd.DataFrame(rows, columns=["fetch_id", "line_no", "state", "run", "parts"])
 
 
 def _signed(values: list[int]) -> list[int]:
@@ -332,12 +401,26 @@ def furniture_lines(pages: DataFrame, fetched: DataFrame, model: Plausibility, l
     tokens = page_tokens(once, model).dropDuplicates(["fetch_id"])
     layout = layout_tokens(fetched, model).dropDuplicates(["fetch_id"])
     blocked = url_blocks(place).join(tokens, "fetch_id").join(layout, "fetch_id", "left")
-    schema = "fetch_id bigint, line_no int, furniture boolean, parts array<bigint>, host string"
-    judged = cut(blocked.groupBy("host", "block").applyInPandas(_with_host, schema))
-    known = judged.where("furniture").select("host", F.explode("parts").alias("part")).distinct().groupBy("part").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= least_hosts).select("part")
-    open_parts = judged.where("not furniture and size(parts) > 0").select("fetch_id", "line_no", F.size("parts").alias("n"), F.explode("parts").alias("part"))
-    elsewhere = open_parts.join(known, "part").groupBy("fetch_id", "line_no").agg(F.first("n").alias("n"), F.count("*").alias("found")).where("found = n")
-    return judged.where("furniture").select("fetch_id", "line_no").unionByName(elsewhere.select("fetch_id", "line_no"))
+    judged = cut(blocked.groupBy("host", "block").applyInPandas(_with_host, "fetch_id bigint, line_no int, state int, run int, parts array<bigint>, host string"))
+    deleted = judged.where(F.col("state") == FURNITURE).select("fetch_id", "line_no")
+    return deleted.unionByName(known_lines(judged, least_hosts))
+
+
+def known_lines(judged: DataFrame, least_hosts: int) -> DataFrame:
+    """``fetch_id, line_no`` of lines left open on their own host that are known as furniture from others.
+
+    Known is a text that was deleted on ``least_hosts`` hosts, and on no fewer than those where it
+    stands alone as a heading.  Open labels go along with a known line of their run.
+    """
+    heard = judged.where(F.col("state").isin(FURNITURE, ALONE)).select("host", (F.col("state") == ALONE).cast("int").alias("alone"), F.explode("parts").alias("part"))
+    hosts = heard.groupBy("part", "host").agg(F.max("alone").alias("alone"), F.max(1 - F.col("alone")).alias("deleted"))
+    known = hosts.groupBy("part").agg(F.sum("alone").alias("alone"), F.sum("deleted").alias("deleted")).where((F.col("deleted") >= least_hosts) & (F.col("deleted") >= F.col("alone"))).select("part")
+    waiting = judged.where(F.col("state").isin(OPEN, DOUBTFUL)).select("fetch_id", "line_no", "state", "run", "parts")
+    parted = waiting.where(F.size("parts") > 0).select("fetch_id", "line_no", "run", F.size("parts").alias("n"), F.explode("parts").alias("part"))
+    found = cut(parted.join(known, "part").groupBy("fetch_id", "line_no", "run", "n").agg(F.count("*").alias("found")).where("found = n"))
+    runs = found.where("run >= 0").select("fetch_id", "run").distinct()
+    along = waiting.where((F.col("state") == OPEN) & (F.col("run") >= 0)).join(runs, ["fetch_id", "run"]).select("fetch_id", "line_no")
+    return found.select("fetch_id", "line_no").unionByName(along).distinct()
 
 
 def _with_host(key: tuple, group: pd.DataFrame) -> pd.DataFrame:

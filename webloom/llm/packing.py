@@ -107,8 +107,11 @@ def solve_configurations(histogram: dict[int, int], capacity: int, epsilon: floa
 def split_oversized(df: DataFrame, capacity: int) -> DataFrame:
     """Pieces ``(doc_id, piece_no, size, n_pieces)`` of every document, whole unless it exceeds ``capacity``.
 
-    Longer texts are cut into full pieces between code points; piece_no counts from 0.
+    Longer texts are cut into full pieces between code points; piece_no counts from 0.  A code
+    point may take four bytes, so capacities are 4 at least.
     """
+    if capacity < 4:
+        raise ValueError(f"a container of {capacity} bytes can't hold every code point")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -134,34 +137,47 @@ def pack(df: DataFrame, capacity: int, unit: int = 32) -> DataFrame:
     """Assign every document of ``df(doc_id, text)`` to containers of ``capacity`` bytes.
 
     Returns ``doc_id, piece_no, n_pieces, size, container``.  Sizes are rounded up to ``unit``
-    bytes for packing, so a container never overflows.  Null and empty texts count one unit;
+    bytes for packing, so a container never overflows; a document that fits, but not once it is
+    rounded up, has a container of its own.  Null and empty texts count one unit;
     null ids are left out; rows delivered twice count once; an empty table gives an empty result.
     Ties are ordered by doc_id and piece_no, so the result doesn't depend on partitioning.
     """
     unit = max(1, min(unit, capacity))
     capacity_units = capacity // unit
-    pieces = split_oversized(df.select("doc_id", "text").where(F.col("doc_id").isNotNull()), capacity_units * unit)
-    pieces = pieces.withColumn("units", F.greatest(F.lit(1), F.ceil(F.col("size") / unit)).cast("int")).withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(RANK_SLICES)).cast("int"))
+    pieces = split_oversized(df.select("doc_id", "text").where(F.col("doc_id").isNotNull()), capacity)
+    pieces = pieces.withColumn("units", F.least(F.lit(capacity_units), F.greatest(F.lit(1), F.ceil(F.col("size") / unit))).cast("int")).withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(RANK_SLICES)).cast("int"))
     counts = pieces.groupBy("units", "slice").agg(F.count("*").alias("n"))
     # at most capacity_units * RANK_SLICES rows: bounded by parameters, not by the data
     table = counts.toPandas().sort_values(["units", "slice"])
     histogram = table.groupby("units")["n"].sum()
     patterns = solve_configurations({int(u): int(n) for u, n in histogram.items()}, capacity_units)
     table["before"] = table.groupby("units")["n"].cumsum() - table["n"] if len(table) else 0
-    spans, base, at = [], 0, {}
+    spans, base, at = {}, 0, {}
     for pattern in patterns:
         for u, m in pattern.content.items():
             start = at.get(u, 0)
             at[u] = start + pattern.count * m
-            spans.append((u, start, at[u], m, base))
+            spans.setdefault(u, []).append((start, m, base))
         base += pattern.count
     spark = df.sparkSession
     offsets = spark.createDataFrame([(int(u), int(s), int(b)) for u, s, b in zip(table["units"], table["slice"], table["before"])], "units int, slice int, before bigint")
-    span = spark.createDataFrame(spans, "units int, first bigint, past bigint, each bigint, base bigint")
+    # first rank, items a container and first container of each span of a size, in the order of ranks; at most one span a pattern
+    shared = spark.sparkContext.broadcast({u: np.array(own, dtype=np.int64) for u, own in spans.items()})
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            container = np.zeros(len(batch), dtype=np.int64)
+            units, rank = batch["units"].to_numpy(), batch["rank"].to_numpy()
+            for u in np.unique(units):
+                own, mine = shared.value[int(u)], np.flatnonzero(units == u)
+                first, each, start = own[np.searchsorted(own[:, 0], rank[mine], side="right") - 1].T
+                container[mine] = start + (rank[mine] - first) // each
+            yield batch.drop(columns=["units", "rank"]).assign(container=container)
+
     local = F.row_number().over(Window.partitionBy("units", "slice").orderBy("doc_id", "piece_no")) - 1
-    ranked = pieces.withColumn("local", local).join(F.broadcast(offsets), ["units", "slice"]).withColumn("rank", F.col("before") + F.col("local"))
-    placed = ranked.join(F.broadcast(span), "units").where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("past")))
-    return placed.select("doc_id", "piece_no", "n_pieces", "size", (F.col("base") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).cast("bigint").alias("container"))
+    ranked = pieces.withColumn("local", local).join(F.broadcast(offsets), ["units", "slice"]).select("doc_id", "piece_no", "n_pieces", "size", "units", (F.col("before") + F.col("local")).alias("rank"))
+    kind = df.schema["doc_id"].dataType.simpleString()
+    return ranked.mapInPandas(place, f"doc_id {kind}, piece_no int, n_pieces int, size bigint, container bigint")
 
 
 def container_report(placed: DataFrame, capacity: int) -> DataFrame:

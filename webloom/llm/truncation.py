@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from webloom.sources.tables import cut
 
@@ -65,8 +66,10 @@ def ends_of(documents: DataFrame) -> DataFrame:
     df = df.withColumn("line", F.regexp_replace(F.regexp_replace("line", BROKEN_TAIL, ""), CUT_MARK, ""))
     df = df.withColumn("open", ~F.regexp_replace("line", _SMILEY, "").rlike(f"{ENDS}{CLOSERS}*\\s*$|{_ADDRESS}"))
     df = df.withColumn("comma", F.col("line").rlike(r"[,;:、(–€$]\s*$")).withColumn("bullet", F.col("line").rlike(r"^\s*[-*•·–]\s"))
-    # three words at the very end decide; a line's last 600 signs hold them
-    df = df.withColumn("line", F.substring("line", -600, 600)).withColumn("w", F.concat(F.array(F.lit(_PAD)), F.filter(_tokens(F.col("line")), lambda w: w != "")))
+    # three words at the very end decide: mostly the line's last 600 signs hold them, else all of it is read
+    read = lambda text: F.concat(F.array(F.lit(_PAD)), F.filter(_tokens(text), lambda w: w != ""))
+    df = df.withColumn("w", read(F.substring("line", -600, 600)))
+    df = df.withColumn("w", F.when((F.length("line") <= 600) | (F.size("w") >= 7), F.col("w")).otherwise(read(F.col("line"))))
     return df.select("doc_id", "source", "copy", "broken", "bullet", "comma", "open", F.element_at("w", -3).alias("c1"), F.element_at("w", -2).alias("c2"), F.element_at("w", -1).alias("tail"))
 
 
@@ -84,18 +87,31 @@ def trigram_counts(documents: DataFrame) -> DataFrame:
     return flat.groupBy("context", "c2", "word").agg(count(0).alias("inside"), count(1).alias("signed"), count(2).alias("bare"))
 
 
+#: Sorts after every other sign.
+_LAST = "\U0010ffff"
+
+
 def _evidence(suspects: DataFrame, grams: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """For each last word after its context: occurrences as a whole word, and of longer words it begins."""
+    """For each last word after its context: occurrences as a whole word, and of longer words it begins.
+
+    In the order of words, those that begin with a last word follow it at once: running sums of
+    the occurrences before and after that range give them, so that no last word meets a word.
+    """
+    group = [*keys, "initial"]
+    initial = lambda c: F.substring(c, 1, 1).alias("initial")
     copies = suspects.groupBy(*keys, "tail", "copy").agg(F.count("*").alias("copies"))
-    own = copies.groupBy(*keys, "tail").agg(F.max("copies").alias(f"{name}_own")).withColumn("initial", F.substring("tail", 1, 1))
-    near = own.join(grams.withColumn("initial", F.substring("word", 1, 1)), [*keys, "initial"]).where(F.col("word").startswith(F.col("tail")))
-    whole = F.col("word") == F.col("tail")
-    used = F.col("inside") + F.col("signed")
-    return near.groupBy(*keys, "tail", f"{name}_own").agg(
-        F.sum(F.when(whole, used).otherwise(0)).alias(f"{name}_whole"),
-        F.sum(F.when(whole, F.col("bare")).otherwise(0)).alias(f"{name}_bare"),
-        F.sum(F.when(~whole, used).otherwise(0)).alias(f"{name}_longer"),
-    )
+    own = copies.groupBy(*keys, "tail").agg(F.max("copies").alias(f"{name}_own")).select("*", initial("tail"))
+    place = lambda text, rank: F.struct(text.alias("text"), F.lit(rank).alias("rank"))
+    tail = F.col("tail")
+    zero = F.lit(0).cast("bigint")
+    ends = own.select(*group, "tail", f"{name}_own", F.explode(F.array(place(tail, 0), place(tail, 2), place(F.concat(tail, F.lit(_LAST)), 3))).alias("p"))
+    ends = ends.select(*group, "tail", f"{name}_own", "p.*", zero.alias("used"), zero.alias("bare"))
+    words = grams.select(*keys, "word", initial("word"), (F.col("inside") + F.col("signed")).alias("used"), "bare").join(own.select(*group).distinct(), group, "left_semi")
+    words = words.select(*group, F.lit(None).cast("string").alias("tail"), F.lit(None).cast("bigint").alias(f"{name}_own"), F.col("word").alias("text"), F.lit(1).alias("rank"), "used", "bare")
+    before = Window.partitionBy(*group).orderBy("text", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    summed = words.unionByName(ends).withColumn("used", F.sum("used").over(before)).withColumn("bare", F.sum("bare").over(before)).where(tail.isNotNull())
+    at = lambda column, rank: F.max(F.when(F.col("rank") == rank, F.col(column)))
+    return summed.groupBy(*keys, "tail", f"{name}_own").agg((at("used", 2) - at("used", 0)).alias(f"{name}_whole"), (at("bare", 2) - at("bare", 0)).alias(f"{name}_bare"), (at("used", 3) - at("used", 2)).alias(f"{name}_longer"))
 
 
 def truncated(documents: DataFrame, least: int = 2, most_bare: float = 0.05, fragment_ratio: int = 20, alone_least: int = 20) -> DataFrame:
@@ -118,7 +134,7 @@ def truncated(documents: DataFrame, least: int = 2, most_bare: float = 0.05, fra
     three = _evidence(suspects, grams.select("context", "word", "inside", "signed", "bare"), ["context"], "t")
     pairs = grams.groupBy("c2", "word").agg(F.sum("inside").alias("inside"), F.sum("signed").alias("signed"), F.sum("bare").alias("bare"))
     two = _evidence(suspects, pairs, ["c2"], "b")
-    one = _evidence(suspects.withColumn("any", F.lit(0)), pairs.groupBy("word").agg(F.sum("inside").alias("inside"), F.sum("signed").alias("signed"), F.sum("bare").alias("bare")).withColumn("any", F.lit(0)), ["any"], "u").drop("any")
+    one = _evidence(suspects, pairs.groupBy("word").agg(F.sum("inside").alias("inside"), F.sum("signed").alias("signed"), F.sum("bare").alias("bare")), [], "u")
     scored = suspects.join(three, ["context", "tail"], "left").join(two, ["c2", "tail"], "left").join(one, "tail", "left").fillna(0)
 
     def decide(name: str, least: int) -> Column:

@@ -37,7 +37,9 @@ class Settings:
     of pair by pair, which finds every pair that reaches the threshold.  Bands miss a pair at
     the threshold, however its weights lie, with a probability of ``most_missed`` at most; pairs
     whose estimate is under ``least_estimate``, or 4 standard deviations under the least
-    weighted similarity of such a pair if that is lower, aren't compared.
+    weighted similarity of such a pair if that is lower, aren't compared.  ``similarity``: pairs
+    are verified by the Jaccard similarity of their shingle "sets", or by that of the "weights"
+    of their shingles.
     """
 
     shingle: int = 5
@@ -49,18 +51,26 @@ class Settings:
     least_estimate: float = 0.33
     most_missed: float = 0.002
     weighted: bool = True
+    similarity: str = "sets"
     seed: int = 11
 
     @property
     def heaviest(self) -> float:
-        """The largest weight, where the least is 1: 2, or less if bands would miss pairs at the threshold."""
+        """The largest weight, where the least is 1: 2, or less if bands would miss pairs at the threshold of plain sets."""
+        if self.similarity == "weights":
+            return 2.0
         needed = (1.0 - self.most_missed ** (1.0 / self.bands)) ** (1.0 / self.rows)
         return float(np.clip(self.threshold * (1.0 - needed) / (needed * max(1.0 - self.threshold, 1e-9)), 1.0, 2.0))
 
     @property
     def least_weighted(self) -> float:
         """The least weighted similarity of two sets at the threshold: what they share weighs 1, the rest ``heaviest``."""
-        return self.threshold / (self.threshold + (1.0 - self.threshold) * (self.heaviest if self.weighted else 1.0))
+        return self.threshold if self.similarity == "weights" else self.threshold / (self.threshold + (1.0 - self.threshold) * (self.heaviest if self.weighted else 1.0))
+
+    @property
+    def least_plain(self) -> float:
+        """The least similarity of the plain sets of a pair: of weights at the threshold, what they share may weigh ``heaviest``."""
+        return self.threshold if self.similarity == "sets" or not self.weighted else self.threshold / (self.threshold + (1.0 - self.threshold) * self.heaviest)
 
     @property
     def least_agreeing(self) -> float:
@@ -295,24 +305,31 @@ def _agreeing(settings: Settings):
 
 def candidates(signed: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """Pairs ``a, b`` (a < b) of different texts to compare, and the ``key`` of texts in crowded buckets."""
-    once = signed.select("bucket", "key", "n").repartition("bucket").dropDuplicates(["bucket", "key"])
+    once = signed.select("bucket", "key").repartition("bucket").dropDuplicates(["bucket", "key"])
     shared = cut(once.withColumn("members", F.count("*").over(Window.partitionBy("bucket"))).where("members > 1"))
-    sketches = signed.where(F.col("sketch").isNotNull()).select("key", "sketch").dropDuplicates(["key"])
+    sketches = signed.where(F.col("sketch").isNotNull()).select("key", "n", "sketch").dropDuplicates(["key"])
     member = shared.where(F.col("members") <= settings.bucket_limit).join(sketches, "key").groupBy("bucket").agg(F.collect_list(F.struct("key", "n", "sketch")).alias("m"))
-    pairs = member.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where("x.key < y.key").where(_size_fits(F.col("x.n"), F.col("y.n"), settings.threshold))
+    pairs = member.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where("x.key < y.key").where(_size_fits(F.col("x.n"), F.col("y.n"), settings.least_plain))
     flat = pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.sketch").alias("x"), F.col("y.sketch").alias("y"))
     near = flat.mapInPandas(_agreeing(settings), "a bigint, b bigint").distinct()
     return near, shared.where(F.col("members") > settings.bucket_limit).select("key").distinct()
 
 
+#: Crowded texts of one shingle and length class that one task compares; more are spread over several.
+HOT_TEXTS = 2_000
+
+
 def crowded_candidates(sets: DataFrame, crowded: DataFrame, weights: np.ndarray | None, settings: Settings) -> DataFrame:
-    """Every pair of crowded texts that can reach the threshold, by prefix filtering.
+    """Every pair ``a, b`` of crowded texts that can reach the threshold, once, by prefix filtering.
 
     Two sets reach a Jaccard similarity t only if their n - ceil(t * n) + 1 rarest shingles
-    meet; shingles are ordered by document frequency, then hash.
+    meet; shingles are ordered by document frequency, then hash.  A pair comes out at the first
+    shingle that both prefixes hold, and only if what follows it can still reach t.  Texts meet
+    within their length class and the next one, and those of a hot shingle in slices.
     """
     shared = sets.sparkSession.sparkContext.broadcast(weights) if weights is not None else None
     shift = np.uint32(32 - settings.df_bits)
+    t = settings.least_plain
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -320,27 +337,47 @@ def crowded_candidates(sets: DataFrame, crowded: DataFrame, weights: np.ndarray
             for key, raw in zip(batch["key"], batch["shingles"]):
                 own = np.frombuffer(raw, dtype="<u4")
                 rare = -shared.value[own >> shift] if shared is not None else np.zeros(len(own))
-                order = np.lexsort((own, rare))[: len(own) - int(np.ceil(settings.threshold * len(own) - 1e-9)) + 1]
-                parts.append(pd.DataFrame({"key": key, "n": np.int32(len(own)), "shingle": own[order].astype(np.int64)}))
+                order = np.lexsort((own, rare))[: len(own) - int(np.ceil(t * len(own) - 1e-9)) + 1]
+                first = own[order].astype(np.int64)
+                parts.append(pd.DataFrame({"key": key, "n": np.int32(len(own)), "place": np.arange(len(first), dtype=np.int32), "shingle": first, "before": [first[:k].tolist() for k in range(len(first))]}))
             if parts:
                 yield pd.concat(parts)
 
-    rows = cut(sets.join(crowded, "key", "left_semi").mapInPandas(prefixes, "key bigint, n int, shingle bigint"))
-    x, y = rows.alias("x"), rows.alias("y")
-    pairs = x.join(y, "shingle").where("x.key < y.key").where(_size_fits(F.col("x.n"), F.col("y.n"), settings.threshold))
-    return pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-
+    rows = sets.join(crowded, "key", "left_semi").mapInPandas(prefixes, "key bigint, n int, place int, shingle bigint, before array<bigint>")
+    rows = cut_table(rows.withColumn("length", F.floor(F.log("n") / -np.log(t) + F.lit(1e-9)).cast("int") if t < 1 else F.col("n")))
+    hot = rows.groupBy("shingle", "length").agg(F.count("*").alias("m")).where(F.col("m") > HOT_TEXTS)
+    # a class is sliced by the number of its texts and of those one class longer that meet them
+    slices = hot.union(hot.select("shingle", F.col("length") - 1, "m")).groupBy("shingle", "length").agg(F.ceil(F.sum("m") / HOT_TEXTS).cast("int").alias("slices"))
+    x = rows.join(slices, ["shingle", "length"], "left").withColumn("slice", F.pmod(F.xxhash64("key"), F.coalesce("slices", F.lit(1))))
+    y = rows.withColumn("own", F.col("length")).withColumn("length", F.explode(F.array(F.col("length"), F.col("length") - 1)))
+    y = y.join(slices, ["shingle", "length"], "left").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("slices", F.lit(1)).cast("bigint") - 1)))
+    x, y = x.alias("x"), y.alias("y")
+    # one order of the two: by class, then by key
+    ordered = (F.col("y.own") > F.col("x.length")) | (F.col("x.key") < F.col("y.key"))
+    needed = F.lit(t / (1.0 + t)) * (F.col("x.n") + F.col("y.n")) - 1e-9
+    reachable = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) - 1 >= needed
+    first = ~F.arrays_overlap("x.before", "y.before")
+    pairs = x.join(y, ["shingle", "length", "slice"]).where(ordered & _size_fits(F.col("x.n"), F.col("y.n"), t) & reachable & first)
+    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
+
+
+def _verify(settings: Settings, weights):
+    """``weights``: the broadcast weight of each counter, or None."""
+    shift = np.uint32(32 - settings.df_bits)
+    weighed = settings.similarity == "weights" and weights is not None
 
-def _verify(threshold: float):
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             similarity = np.zeros(len(batch))
             for k, (x, y) in enumerate(zip(batch["x"], batch["y"])):
                 x, y = np.frombuffer(x, dtype="<u4"), np.frombuffer(y, dtype="<u4")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                union = len(x) + len(y) - both
-                similarity[k] = both / union if union else 1.0
-            keep = similarity >= threshold
+                common = np.intersect1d(x, y, assume_unique=True)
+                if weighed:
+                    both, every = (float(weights.value[h >> shift].sum(dtype=np.float64)) for h in (common, np.concatenate((x, y))))
+                else:
+                    both, every = len(common), len(x) + len(y)
+                similarity[k] = both / (every - both) if every > both else 1.0
+            keep = similarity >= settings.threshold
             yield pd.DataFrame({"a": batch["a"][keep], "b": batch["b"][keep], "similarity": similarity[keep]})
 
     return verify
@@ -364,9 +401,10 @@ def similar_texts(pages: DataFrame, settings: Settings = Settings()) -> DataFram
     sets = cut(shingle_sets(pages, cut(needed), settings))
     if not crowded.isEmpty():
         near = near.unionByName(crowded_candidates(sets, crowded, weights, settings)).distinct()
+    shared = pages.sparkSession.sparkContext.broadcast(weights) if settings.similarity == "weights" and weights is not None else None
     left = near.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInPandas(_verify(settings.threshold), "a bigint, b bigint, similarity double")
+    return both.select("a", "b", "x", "y").mapInPandas(_verify(settings, shared), "a bigint, b bigint, similarity double")
 
 
 def text_classes(pages: DataFrame) -> DataFrame:

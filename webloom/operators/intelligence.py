@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from webloom.constants import CONFIDENCES, LEGAL_FLAGS, NOT_AVAILABLE, OPTIONAL_FIELDS, REQUIRED_FIELDS
 from webloom.functions.text import strip
 from webloom.functions.urls import grounding_key, http_sources
+from webloom.sources.tables import cut_table
 
 SOURCED = T.StructType([T.StructField("value", T.StringType()), T.StructField("confidence", T.StringType()), T.StructField("sources", T.ArrayType(T.StringType()))])
 LEGAL = T.StructType([*(T.StructField(f, T.BooleanType()) for f in LEGAL_FLAGS), T.StructField("sources", T.ArrayType(T.StringType()))])
@@ -143,16 +144,22 @@ def user_prompt(context: Column, strict: Column) -> Column:
     return F.concat(F.lit("Pages:\n<<<\n"), context, F.lit("\n>>>\nThe JSON object has the fields " + ", ".join((*REQUIRED_FIELDS, *OPTIONAL_FIELDS)) + ", legal_pages and missing_information."), F.when(strict, F.lit("\nReturn the JSON object alone, without any other text.")).otherwise(""))
 
 
-def complete(prompts: DataFrame, group: str, client: Callable[[str, str], str | None]) -> DataFrame:
-    """Replies ``group, attempt, raw`` of an injected model client, called once a prompt on the workers; failed calls give null."""
+def complete(prompts: DataFrame, group: str, client: Callable, options: dict | None = None) -> DataFrame:
+    """Replies ``group, attempt, raw`` of an injected model client, called once a prompt on the workers; failed calls give null.
+
+    A client of three parameters is given ``options`` (temperature, max_output_tokens) as well.
+    """
+    import inspect
+
     kind = prompts.schema[group].dataType.simpleString()
+    extra = ({"temperature": 0.0, **(options or {})},) if len(inspect.signature(client).parameters) > 2 else ()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             raw = []
             for prompt in batch["prompt"]:
                 try:
-                    raw.append(client(SYSTEM_PROMPT, prompt))
+                    raw.append(client(SYSTEM_PROMPT, prompt, *extra))
                 except Exception:  # a failed call is a null reply
                     raw.append(None)
             yield pd.DataFrame({"g": batch["g"], "attempt": batch["attempt"], "raw": raw})
@@ -160,3 +167,24 @@ def complete(prompts: DataFrame, group: str, client: Callable[[str, str], str |
     return prompts.select(F.col(group).alias("g"), "attempt", "prompt").mapInPandas(run, f"g {kind}, attempt int, raw string").withColumnRenamed("g", group)
 
 
+def ask(contexts: DataFrame, group: str, client: Callable, attempts: int = 2, options: dict | None = None) -> DataFrame:
+    """Replies ``group, attempt, raw``: each context is asked again only while it has no valid reply, ``attempts`` times at most.
+
+    Every round is written before it is read, so that no reply is asked for twice.
+    """
+    open_ones, replies = contexts.select(group, "context"), None
+    for attempt in range(1, attempts + 1):
+        prompts = open_ones.select(group, F.lit(attempt).alias("attempt"), user_prompt(F.col("context"), F.lit(attempt > 1)).alias("prompt"))
+        round_ = cut_table(complete(prompts, group, client, options))
+        replies = round_ if replies is None else replies.unionByName(round_)
+        if attempt < attempts:
+            read = round_.select(group, F.explode(F.array(reply_object(F.col("raw")))).alias("object"))
+            answered = read.where(F.col("object").isNotNull()).where(is_valid(F.col("object"))).select(group)
+            open_ones = open_ones.join(answered, group, "left_anti")
+    return replies
+
+
+def stored(records: DataFrame) -> DataFrame:
+    """Stored intelligence (a column ``data`` of JSON) with ``intelligence`` as a struct, null where it isn't valid any more."""
+    read = records.select(*records.columns, F.explode(F.array(reply_object(F.col("data")))).alias("object"))
+    return read.withColumn("intelligence", F.when(F.col("object").isNotNull() & is_valid(F.col("object")), typed(F.col("object")))).drop("object")

@@ -123,12 +123,13 @@ def classify(url: Column, title: Column | None = None, headings: Column | None =
     return F.when(~urls.is_absolute(address), "unknown").when(urls.is_homepage(address), "homepage").otherwise(F.coalesce(url_type(address), by_page, F.lit("unknown")))
 
 
-def extract(fetched: DataFrame, key: str = "fetch_id") -> DataFrame:
+def extract(fetched: DataFrame, key: str = "fetch_id", parsed: DataFrame | None = None) -> DataFrame:
     """Extracted pages: ``key, url, page_type, title, meta_description, headings, clean_text, raw_text_length, language, fetch_status``.
 
     Every fetch gives a row; failed and empty ones have null fields, no headings and empty text.
+    ``parsed``: rows of parse_pages, where they have been made before.
     """
-    parsed = parse_pages(fetched, key).dropDuplicates([key])
+    parsed = (parse_pages(fetched, key) if parsed is None else parsed).dropDuplicates([key])
     base = fetched.where(F.col(key).isNotNull()).select(key, F.coalesce(F.when(F.col("final_url") != "", F.col("final_url")), F.col("url")).alias("url"), F.col("status").alias("fetch_status")).dropDuplicates([key])
     joined = base.join(parsed, key, "left")
     return joined.select(
@@ -145,13 +146,14 @@ def extract(fetched: DataFrame, key: str = "fetch_id") -> DataFrame:
     )
 
 
-def discover_links(fetched: DataFrame, key: str = "fetch_id", most: int = DEFAULTS["MAX_PAGES_PER_SCAN"]) -> DataFrame:
+def discover_links(fetched: DataFrame, key: str = "fetch_id", most: int = DEFAULTS["MAX_PAGES_PER_SCAN"], parsed: DataFrame | None = None) -> DataFrame:
     """The best internal links of each page: ``key, rank, url, score``.
 
     Links of other sites, the page itself, files and pages behind forms are left out; each
-    address counts once with its best score; ties are in the order of addresses.
+    address counts once with its best score; ties are in the order of addresses.  ``parsed``: rows
+    of parse_pages, where they have been made before.
     """
-    parsed = parse_pages(fetched, key).dropDuplicates([key]).select(key, "anchors")
+    parsed = (parse_pages(fetched, key) if parsed is None else parsed).dropDuplicates([key]).select(key, "anchors")
     base = fetched.select(key, F.coalesce(F.when(F.col("final_url") != "", F.col("final_url")), F.col("url")).alias("base")).dropDuplicates([key])
     anchors = parsed.join(base, key).select(key, urls.canonical(F.col("base")).alias("home"), urls.site(F.col("base")).alias("site"), F.inline("anchors"))
     supported = anchors.where(urls.is_supported_href(F.col("href")) & F.col("home").isNotNull() & (F.col("site") != ""))

@@ -26,21 +26,27 @@ def once(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(parts, key).dropDuplicates([key])
 
 
+#: Intermediate tables and checkpoints this process has made and not yet removed.
+_made: list[str] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage.
+    """The shared folder for cut lineage, from the session's ``spark.checkpoint.dir``.
 
-    The session's ``spark.checkpoint.dir`` is used where it is set.  Only a session
-    without one (tests, a laptop) gets a folder of its own.
+    Only a session in local mode that sets none (tests, a laptop) gets a folder of its own; on a
+    cluster, where executors would write to their own disks, that is an error.
     """
     sc = spark.sparkContext
+    context = sc._jsc.sc()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if context.getCheckpointDir().isEmpty():
             sc.setCheckpointDir(configured)
         return configured
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+    if context.getCheckpointDir().isDefined():
+        return context.getCheckpointDir().get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     import tempfile
 
     path = "file://" + tempfile.mkdtemp(prefix="webloom-checkpoint-")
@@ -51,27 +57,44 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder, so that later reads survive lost executors."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    file = kept._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        _keep(df.sparkSession, file.get())
+    return kept
 
 
 def cut_table(df: DataFrame) -> DataFrame:
     """Like ``cut``, as a compressed table: for many narrow rows it takes a fraction of a checkpoint's space.
 
-    The table is removed when the Python process ends.
+    What computes ``df`` runs once for each row that is kept, so calls to other services go here.
     """
-    import atexit
     import uuid
 
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    _keep(spark, path)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    except Exception:  # the session has ended before
-        pass
+def _keep(spark: SparkSession, path: str) -> None:
+    import atexit
+
+    if not _made:
+        atexit.register(release, spark)
+    _made.append(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes the intermediate tables and checkpoints made so far; call it once the results that rest on them have been read.
+
+    It is called when the Python process ends.  Later cuts make folders of their own again.
+    """
+    while _made:
+        path = _made.pop()
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # the session has ended before
+            pass

@@ -258,6 +258,8 @@ MOST_WORDS, MOST_SIGNS = 34, 260
 MOCK_LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
+#: Those of them for which a sentence is read: any three words of it in a row hold one nearly always.
+LATIN_CALLS = ("lorem", "ipsum", "dolor", "amet", "adipiscing", "eiusmod", "tempor", "labore", "magna", "aliqua", "veniam", "nostrud", "ullamco", "laboris", "aliquip", "commodo", "irure", "velit", "cillum", "fugiat", "pariatur", "occaecat", "deserunt", "mollit")
 #: Opening signs of fields that a template should have filled, and what a whole field looks like.
 OPENERS = ("{", "<", "$", "%%", "@@", "##", "~~", "__", "xxx_", "[", "*|", "((", "%(", "||", "%")
 FIELD = re.compile(
@@ -314,6 +316,8 @@ def build() -> Matcher:
                 words[stem].add(role)
             if role in CALLING:
                 calling.add_word(stem, (WORD_ROLE, len(stem), word.endswith("*")))
+    for word in LATIN_CALLS:
+        calling.add_word(word, (WORD_ROLE, len(word), False))
     for idiom in IDIOMS:
         calling.add_word(idiom, (IDIOM, len(idiom), False))
     for opener in OPENERS:
@@ -404,23 +408,22 @@ def judge(matcher: Matcher, title: str | None, text: str) -> tuple[int, float]:
         spots += len(fields)
         held += sum(_letters(text[a:b]) for a, b in fields)
     source = text if len(lowered) == len(text) else lowered
-    latin = any(x in lowered for x in ("dolor", "amet", "elit", "ipsum", "lorem", "laboris", "ullamco"))
-    coded = _CODE.search(lowered) is not None
-    if hits or latin or coded:
+    hits += [m.start() for m in _CODE.finditer(lowered)]
+    if hits:
         k = 0
         hits.sort()
         for m in _SENTENCE.finditer(source):
             a, b = m.span()
             while k < len(hits) and hits[k] < a:
                 k += 1
-            if (latin or coded or (k < len(hits) and hits[k] < b)) and sentence_is_residue(matcher, m.group()):
+            if k < len(hits) and hits[k] < b and sentence_is_residue(matcher, m.group()):
                 spots += 1
                 held += _letters(m.group())
     if title:
         spots += sum(1 for _ in FIELD.finditer(title))
         for part in _TITLE_PART.split(title.strip()):
             spots += bool(_EMPTY_TITLE.fullmatch(part.lower().strip())) or sentence_is_residue(matcher, part)
-    return spots, min(1.0, held / max(1, _letters(text)))
+    return spots, min(1.0, held / max(1, _letters(text))) if held else 0.0
 
 
 def residue(pages: DataFrame, model: Plausibility, most_covered: float = 0.3) -> DataFrame:

@@ -139,9 +139,16 @@ SYSTEM_PROMPT = (
 )
 
 
+def user_prompt_parts() -> tuple[str, str, str]:
+    """What stands before and after the context, and what a repeated attempt adds."""
+    fields = ", ".join((*REQUIRED_FIELDS, *OPTIONAL_FIELDS))
+    return "Pages:\n<<<\n", f"\n>>>\nThe JSON object has the fields {fields}, legal_pages and missing_information.", "\nReturn the JSON object alone, without any other text."
+
+
 def user_prompt(context: Column, strict: Column) -> Column:
     """The request for one context; a repeated attempt asks for bare JSON."""
-    return F.concat(F.lit("Pages:\n<<<\n"), context, F.lit("\n>>>\nThe JSON object has the fields " + ", ".join((*REQUIRED_FIELDS, *OPTIONAL_FIELDS)) + ", legal_pages and missing_information."), F.when(strict, F.lit("\nReturn the JSON object alone, without any other text.")).otherwise(""))
+    before, after, alone = user_prompt_parts()
+    return F.concat(F.lit(before), context, F.lit(after), F.when(strict, F.lit(alone)).otherwise(""))
 
 
 def complete(prompts: DataFrame, group: str, client: Callable, options: dict | None = None) -> DataFrame:

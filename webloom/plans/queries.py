@@ -14,6 +14,7 @@ from webloom.operators import chunks as chunking
 from webloom.operators import intelligence as intel
 from webloom.operators import pages as paging
 from webloom.operators import retrieval, store
+from webloom.plans import cases
 from webloom.plans.engine import Engine
 from webloom.sources.tables import once, table
 
@@ -210,12 +211,48 @@ def nearest_vectors(spark, root):
     return found.select("query_id", "vec_id", "rank", F.round("similarity", 5).alias("similarity"))
 
 
+def chunks_searched(spark, root):
+    """The five nearest stored vectors of the same company for questions with the vectors of every row whose id is divisible by 100."""
+    vectors = table(spark, root, "embeddings")
+    chunks = vectors.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("label").cast("string").alias("company_id"), "embedding")
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").cast("string").alias("question_id"), F.col("label").cast("string").alias("company_id"), "embedding")
+    return retrieval.search_chunks(chunks, asked, 5).select("question_id", "chunk_id", "rank", F.round("similarity", 5).alias("similarity"))
+
+
+def pages_looked_up(spark, root):
+    """Pages of one company by type and by address, and the pages and the row of one scan."""
+    pages = _pages(spark, root)
+    first = pages.agg(F.min_by("company_id", "page_id"), F.min_by("page_type", "page_id"), F.min_by("page_url", "page_id"), F.min_by("scan_id", "page_id")).first()
+    found = {"type": retrieval.page_by_type(pages, first[0], first[1]), "url": retrieval.page_by_url(pages, first[0], first[2]), "scan": store.rows_of(pages, "scan_id", first[3], "page_id"), "none": store.rows_of(pages, "scan_id", "no such scan", "page_id")}
+    rows = [frame.select(F.lit(how).alias("how"), F.col("page_id").alias("id")) for how, frame in found.items()]
+    rows.append(store.rows_of(_scans(spark, root), "scan_id", first[3], "started_at").select(F.lit("one scan").alias("how"), F.col("scan_id").alias("id")))
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    return every
+
+
+def prompts_built(spark, root):
+    """Both requests to the model for each company's context."""
+    contexts = context_texts(spark, root).select("company_id", "context", F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"))
+    return contexts.select("company_id", "attempt", intel.user_prompt(F.col("context"), F.col("attempt") > 1).alias("prompt"))
+
+
+def failures_recorded(spark, root):
+    """All unfinished scans set to failed, with the errors that are stored for them."""
+    scans = _scans(spark, root).select("scan_id", "status", F.unix_micros("completed_at").alias("completed_at"), "error_summary")
+    failures = scans.where("status = 'in_progress'").select("scan_id", F.lit("internal_error").alias("error_type"), F.concat(F.lit("Ended: "), F.col("scan_id")).alias("message"), F.lit(None).cast("string").alias("page_url"), F.lit(7).cast("bigint").alias("created_at"))
+    failed = store.fail_scans(scans, failures.select("scan_id", "message", F.col("created_at").alias("failed_at")))
+    return failed.join(store.error_records(failures).select("scan_id", "error_id", "error_type"), "scan_id", "left")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         census_page_types, pages_extracted, links_discovered, url_normalized, url_canonical, url_page_types, link_relevance, internal_pages, title_keywords, normal_texts, fetch_statuses, fetch_rows, fetch_rows_whole, page_chunks, page_sentences,
         context_chunks, context_texts, chunk_pages_joined, chunk_orphans, scan_counters, scan_last_errors, latest_scans, scans_inserted, page_records, intelligence_grounded, scan_statuses, nearest_vectors,
+        chunks_searched, pages_looked_up, prompts_built, failures_recorded,
     ]
-    return {f.__name__: f for f in named}
+    return {f.__name__: f for f in named} | cases.queries()
 
 
 _R = urls.REFERENCE.replace("'", "''")
@@ -273,7 +310,27 @@ def oracle_sql() -> dict[str, str]:
         FROM {_parts("f", f'''(SELECT *, CASE WHEN starts_with(t, '//') THEN 'https:' || t WHEN lower(regexp_extract(t, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1)) IN ({_sql_list(KNOWN_SCHEMES)}) THEN t ELSE 'https://' || t END AS f FROM (SELECT url AS raw, regexp_replace(coalesce(url, ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS t FROM {_ADDRESSES}))''')})"""
     weights = ", ".join(f"CASE WHEN contains(k, '{k}') THEN {w} ELSE 0 END" for k, w in LINK_WEIGHTS.items())
     collapse = f"trim(regexp_replace(x, '{_SPACE}+', ' ', 'g'))"
-    return {
+    prompt = intel.user_prompt_parts()
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    n_words = lambda x: f"len(list_filter(string_split_regex({x}, '{_SPACE}+'), lambda w: w <> ''))"
+    chunked = f"""WITH RECURSIVE s AS (SELECT page_id, company_id, page_type, page_title, flatten(list_transform(list_filter(list_transform(string_split_regex(clean_text, '\\n{_SPACE}*\\n'), lambda x: regexp_replace(x, '^{_SPACE}+|{_SPACE}+$', '', 'g')), lambda x: x <> ''),
+            lambda x: list_filter(string_split(regexp_replace(x, '([.!?]){_SPACE}+', '\\1' || chr(1), 'g'), chr(1)), lambda y: y <> ''))) AS sentences FROM {pages}),
+        w AS (SELECT * EXCLUDE sentences, flatten(list_transform(sentences, lambda x: CASE WHEN {n_words("x")} <= 600 THEN [x] ELSE list_transform(range(0, {n_words("x")}, 600), lambda k: array_to_string(list_filter(string_split_regex(x, '{_SPACE}+'), lambda v: v <> '')[k + 1:k + 600], ' ')) END)) AS parts FROM s),
+        e AS (SELECT *, list_transform(range(0, len(parts) + 1), lambda i: CAST(coalesce(list_sum(list_transform(parts[1:i], lambda x: {n_words("x")})), 0) AS BIGINT)) AS ends FROM w WHERE len(parts) > 0),
+        c AS (SELECT page_id, 0 AS chunk_index, CAST(0 AS BIGINT) AS start, greatest(1, len(list_filter(ends, lambda x: x <= ends[1] + 600)) - 1) AS stop FROM e
+            UNION ALL SELECT page_id, chunk_index + 1, next, greatest(stop + 1, len(list_filter(ends, lambda x: x <= ends[next + 1] + 600)) - 1) FROM (SELECT c.*, e.ends, e.parts, greatest(c.start, len(list_filter(e.ends, lambda x: x <= e.ends[c.stop + 1] - 80)) - 1) AS next FROM c JOIN e USING (page_id)) WHERE stop < len(parts))
+        SELECT company_id, page_id AS page_url, page_type, chunk_index, page_title AS title, array_to_string(parts[start + 1:stop], ' ') AS text FROM c JOIN e USING (page_id)"""
+    first = f"(SELECT arg_min(company_id, page_id) AS company_id, arg_min(page_type, page_id) AS page_type, arg_min(page_url, page_id) AS page_url, arg_min(scan_id, page_id) AS scan_id FROM {pages})"
+    return cases.oracle_sql() | {
+        "page_chunks": chunked,
+        "chunks_searched": """SELECT question_id, chunk_id, rank, round(similarity, 5) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, chunk_id) AS rank FROM
+            (SELECT CAST(q.vec_id AS VARCHAR) AS question_id, CAST(b.vec_id AS VARCHAR) AS chunk_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS similarity FROM embeddings q JOIN embeddings b ON q.label = b.label WHERE q.vec_id % 100 = 0)) WHERE rank <= 5""",
+        "pages_looked_up": f"""SELECT 'type' AS how, page_id AS id FROM {pages} JOIN {first} USING (company_id, page_type) UNION ALL SELECT 'url', page_id FROM {pages} JOIN {first} USING (company_id, page_url)
+            UNION ALL SELECT 'scan', page_id FROM {pages} JOIN {first} USING (scan_id) UNION ALL SELECT 'one scan', scan_id FROM {scans} JOIN {first} USING (scan_id)""",
+        "prompts_built": f"""SELECT company_id, attempt, {quoted(prompt[0])} || context || {quoted(prompt[1])} || CASE WHEN attempt > 1 THEN {quoted(prompt[2])} ELSE '' END AS prompt FROM (SELECT company_id, string_agg('[source: ' || page_url || ']' || CASE WHEN coalesce(title, '') <> '' THEN ' (title: ' || title || ')' ELSE '' END || chr(10) || text, chr(10) || chr(10) ORDER BY position) AS context
+            FROM {_CONTEXT} GROUP BY company_id), (SELECT unnest([1, 2]) AS attempt)""",
+        "failures_recorded": f"""SELECT scan_id, CASE WHEN open THEN 'failed' ELSE status END AS status, CASE WHEN open THEN 7 ELSE epoch_us(completed_at) END AS completed_at, CASE WHEN open THEN 'Ended: ' || scan_id ELSE error_summary END AS error_summary,
+            CASE WHEN open THEN 'error_' || substr(sha256(scan_id || chr(31) || 'internal_error' || chr(31) || 'Ended: ' || scan_id || chr(31) || '' || chr(31) || '7'), 1, 32) END AS error_id, CASE WHEN open THEN 'internal_error' END AS error_type FROM (SELECT *, status = 'in_progress' AS open FROM {scans})""",
         "url_normalized": normalized,
         "url_canonical": f"""SELECT u AS url, CASE WHEN scheme IN ('http', 'https') AND host <> '' AND (port = '' OR (regexp_full_match(port, '[0-9]+') AND try_cast(port AS BIGINT) <= 65535)) THEN scheme || '://' || host || {_PORT} || CASE WHEN path IN ('', '/') THEN '/' ELSE regexp_replace(path, '/+$', '') END || {_SHOWN} END AS canonical,
             regexp_replace(host, '^www[.]', '') AS site, replace(path, '/', '') = '' AS is_homepage,

@@ -32,6 +32,8 @@ def get(url: str, timeout: float, largest: int) -> tuple:
 
     began = time.monotonic()
     spent = lambda: int(round((time.monotonic() - began) * 1000))
+    if not url.lower().startswith(("http://", "https://")):
+        return url, url, None, hops, None, spent(), "Unsupported scheme."
     try:
         request = urllib.request.Request(url, headers={"User-Agent": AGENT})
         try:

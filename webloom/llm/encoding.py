@@ -2,7 +2,7 @@
 
 Each suspicious line starts a best-first search: its neighbours are the texts reached by
 encoding it with one character set and decoding it with another, or by undoing escapes.
-A plausibility cost, learned from character pairs of a bounded sample of sound texts, orders
+A plausibility cost, learned from the character pairs of all documents, orders
 the queue; texts already seen, by hash, aren't entered again.  The cheapest text reached
 replaces the line if it is clearly cheaper.
 """
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from webloom.sources.tables import cut
+
 # Character sets that texts are wrongly read in, and that they are really in.
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "koi8_r", "cp866", "iso8859_2", "iso8859_5", "iso8859_15")
 REALLY = ("utf-8", "cp1252", "cp1251", "koi8_r", "cp932", "euc_jp", "cp1250", "iso8859_2", "mac_roman", "cp866", "cp437", "cp850")
@@ -36,12 +38,19 @@ def _pairs(text: str) -> list[str]:
 
 
 _ESCAPED = re.compile(r"\\u[0-9A-Fa-f]{4}")
+_ENTITY = re.compile(r"&(?:[A-Za-z]{2,8}[0-9]{0,2}|#[0-9]{2,6}|#[xX][0-9A-Fa-f]{2,5});")
 _LOST = re.compile(r"[\ufffd\x80-\x84\x86-\x9f]")
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = 24.0
 #: Signs that stand anywhere in sound texts; a pair that ends in one is never as unlikely as others.
 _COMMON_SIGNS = "©®™«»“”„‘’–—…€£°·•½№¿¡"
 SIGN = 14.0
+#: What an operation costs, and what each place of its character sets in their lists adds: sets are listed by how often texts are wrongly read in them.
+STEP_COST, PLACE_COST = 4.0, 0.5
+
+
+def _step_cost(step: tuple[str, str]) -> float:
+    return STEP_COST + (PLACE_COST * (READ_AS.index(step[0]) + REALLY.index(step[1])) if step[0] else 0.0)
 
 
 def _table(name: str) -> tuple:
@@ -95,9 +104,13 @@ class Plausibility:
         counts: Counter = Counter()
         for text in texts:
             counts.update(_pairs(text))
-        total = sum(counts.values())
+        return cls.counted(counts, sum(counts.values()))
+
+    @classmethod
+    def counted(cls, counts: dict[str, int], total: int, rarest: float = 1e-7) -> Plausibility:
+        """From how often each pair stands in texts of ``total`` pairs; common are those that stand 3 times and hold a share of ``rarest``."""
         pairs = {p: min(UNKNOWN, math.log2(total / n)) for p, n in counts.items() if n > 1}
-        return cls(pairs, frozenset(p for p, n in counts.items() if n >= 3))
+        return cls(pairs, frozenset(p for p, n in counts.items() if n >= max(3, rarest * total)))
 
     def plain(self) -> tuple:
         """What workers need to rebuild the model; plain values need no import there."""
@@ -150,53 +163,77 @@ def _neighbours(text: str) -> Iterator[tuple[str, tuple[str, str]]]:
                 yield found, (wrong, right)
 
 
-def search(text: str, model: Plausibility, most_steps: int = 6) -> tuple[str, float, float, tuple]:
-    """The cheapest text reached from ``text``, its cost, the cost of ``text``, and the operations."""
+#: Bounds of a search: texts whose neighbours are made, operations in a row, and how much a text on the way may cost
+#: of what the line costs.  Wider bounds reach sound-looking texts by chance and take sound lines for damaged (README).
+MOST_STEPS, DEEPEST, DEAREST = 6, 2, 1.2
+
+
+def search(text: str, model: Plausibility, most_steps: int = MOST_STEPS, deepest: int = DEEPEST, dearest: float = DEAREST) -> tuple[str, float, float, tuple]:
+    """The cheapest text reached from ``text``, its cost, the cost of ``text``, and the operations.
+
+    Texts are taken in the order of their cost, and of their number where that is equal.  The
+    search ends at a sound text, when nothing is left within the bounds, or when what is left
+    can't be cheaper than the best.
+    """
     first = model.cost(text)
     best, best_cost, best_route = text, first, ()
-    queue, seen, steps = [(first, (), text)], {hash(text)}, 0
+    queue, seen, steps = [(first, 0, (), text)], {hash(text)}, 0
     while queue and steps < most_steps:
-        _, route, at = heapq.heappop(queue)
+        _, _, route, at = heapq.heappop(queue)
+        if STEP_COST * (len(route) + 1) >= best_cost:
+            continue
         steps += 1
         for found, step in _neighbours(at):
             if hash(found) in seen:
                 continue
             seen.add(hash(found))
-            reached = model.cost(found) + 4.0 * (len(route) + 1)
+            reached = model.cost(found) + sum(map(_step_cost, route)) + _step_cost(step)
             if reached < best_cost:
                 best, best_cost, best_route = found, reached, (*route, step)
-            if len(route) < 2 and reached < first * 1.2:
-                heapq.heappush(queue, (reached, (*route, step), found))
+            if len(route) + 1 < deepest and reached < first * dearest:
+                heapq.heappush(queue, (reached, len(seen), (*route, step), found))
         if best is not text and model.sound(best):
             break
     return best, best_cost, first, best_route
 
 
+_PART = re.compile(r"[^\n<>]+")
+_RUN = re.compile(r"[^\x00-\x7f]+(?:[ \x00-\x7f]?[^\x00-\x7f]+)*")
+
+
 def follow(text: str, route: tuple) -> str | None:
     """``text`` after a known sequence of recodings."""
     for wrong, right in route:
-        raw = _encode(text, wrong) if wrong else None
+        raw = _encode(text, wrong)
         text = _decode(raw, right) if raw is not None else None
         if text is None:
             return None
     return text
 
 
-_PART = re.compile(r"[^\n<>]+")
-_RUN = re.compile(r"[^\x00-\x7f]+(?:[ \x00-\x7f]?[^\x00-\x7f]+)*")
-
-
 class Repair:
-    """Finds and mends wrongly decoded lines; results of repeated lines are kept up to a bound."""
+    """Finds and mends wrongly decoded lines; results of repeated lines are kept up to a bound.
+
+    A line's result depends on the line alone, and a field's on the field alone.
+    """
 
     def __init__(self, model: Plausibility, kept: int = 200_000):
         self.model, self.kept, self.known = model, kept, {}
-        self.routes: list[tuple] = []
 
     def line(self, line: str) -> tuple[bool, str]:
         """``(damaged, text)`` of one line or tag-free part."""
+        return self._read(line)[:2]
+
+    def _read(self, line: str) -> tuple[bool, str, tuple]:
+        """``line`` with the recodings that mended it; signs written as entities are read as signs where they are damaged."""
         if line.isascii() and "\\u" not in line:
-            return False, line
+            if "&" not in line or not _ENTITY.search(line):
+                return False, line, ()
+            shown = html.unescape(line)
+            if shown.isascii():
+                return False, line, ()
+            damaged, better, route = self._read(shown)
+            return (True, better, route) if damaged and better != shown else (False, line, ())
         if line in self.known:
             return self.known[line]
         result = self._judge(line)
@@ -205,26 +242,21 @@ class Repair:
         self.known[line] = result
         return result
 
-    def _judge(self, line: str) -> tuple[bool, str]:
+    def _judge(self, line: str) -> tuple[bool, str, tuple]:
         lost = bool(_LOST.search(line))
         if not self.model.pairs:  # nothing to compare with: only lost signs tell
-            return lost, line
+            return lost, line, ()
         if not lost and self.model.sound(line):
-            return False, line
-        for route in self.routes:  # what mended an earlier line is tried first
-            found = follow(line, route)
-            if found is not None and found != line and self.model.sound(found) and self._convinces(line, found):
-                return True, found
+            return False, line, ()
         pairs = _pairs(line)
         rare = sum(p not in self.model.common for p in pairs)
         if lost or rare >= 3 or 4 * rare >= len(pairs) or "\\u" in line:
             best, cost, first, route = search(line, self.model)
-            if best != line and first - cost >= 10.0 and cost <= 0.72 * first and self._convinces(line, best):
-                if route and all(step[0] for step in route):
-                    self.routes = [route, *(r for r in self.routes if r != route)][:4]
-                return True, best
+            # what is cheaper must be so because its signs are known, not because it has fewer unknown ones
+            if best != line and first - cost >= 10.0 and cost <= 0.72 * first and self._convinces(line, best) and 2 * self._odd(best) < max(self._odd(line), 1):
+                return True, best, route if all(step[0] for step in route) else ()
         if not lost and rare < 2:
-            return False, line
+            return False, line, ()
         # part of the line only: mend each run on its own
         changed, parts, at = lost, [], 0
         for run in _RUN.finditer(line):
@@ -243,7 +275,11 @@ class Repair:
             if better != piece and piece_first - piece_cost >= 14.0 and piece_cost <= 0.6 * piece_first and self._convinces(piece, better):
                 parts += [line[at:a], better]
                 at, changed = b, True
-        return changed, "".join(parts) + line[at:] if parts else line
+        return changed, "".join(parts) + line[at:] if parts else line, ()
+
+    def _odd(self, text: str) -> int:
+        """Pairs that aren't common, nor end in a sign that stands anywhere, and escapes."""
+        return 3 * len(_ESCAPED.findall(text)) + sum(p not in self.model.common and (p[1] not in _COMMON_SIGNS or p[0].isalpha()) for p in _pairs(text))
 
     def _convinces(self, before: str, after: str) -> bool:
         """Several signs became one, or enough signs changed to rule out chance."""
@@ -253,29 +289,77 @@ class Repair:
             return True
         return sum(a != b for a, b in zip(before, after)) >= 3
 
+    def _field_route(self, routes: list[tuple], lines: list[str]) -> tuple[tuple, dict[str, str | None]]:
+        """Of some recodings the one after which the damaged lines cost least together, and what it makes of each."""
+        best, least, mended = (), math.inf, {}
+        for route in routes:
+            after = {line: follow(line, route) for line in lines}
+            cost = sum(map(_step_cost, route)) + sum(self.model.cost(line if x is None else x) for line, x in after.items())
+            if cost < least:
+                best, least, mended = route, cost, after
+        return best, mended
+
     def text(self, text: str) -> tuple[bool, str]:
-        """``(damaged, text)`` of a whole field; markup stays as it is."""
-        if text.isascii() and "\\u" not in text:
+        """``(damaged, text)`` of a whole field; markup stays as it is.
+
+        A field was read wrongly in one way mostly: what mended most of its signs is tried first on
+        its other unsound lines, which may be too short to tell.
+        """
+        if text.isascii() and "\\u" not in text and not _ENTITY.search(text):
             return False, text
-        damaged, parts, at = False, [], 0
+        found, gained = [], Counter()
         for part in _PART.finditer(text):
-            bad, better = self.line(part.group())
+            line = part.group()
+            bad, better, route = self._read(line)
+            found.append((part, bad, better))
+            if route:
+                gained[route] += len(_pairs(line))
+        damaged, parts, at = False, [], 0
+        best, mended = self._field_route(sorted(gained, key=lambda r: (-gained[r], r))[:8], [part.group() for part, bad, _ in found if bad])
+        for part, bad, better in found:
+            line = part.group()
+            if best and not line.isascii() and not self.model.sound(line):
+                same = mended[line] if line in mended else follow(line, best)
+                # a line that is damaged in any case may hold signs that no document has
+                if same is not None and same != line and self._convinces(line, same) and (self.model.sound(same) or (bad and self.model.cost(same) <= 0.8 * self.model.cost(line))):
+                    bad, better = True, same
             damaged |= bad
-            if better is not part.group() and better != part.group():
+            if better != line:
                 parts += [text[at : part.start()], better]
                 at = part.end()
         return damaged, "".join(parts) + text[at:] if parts else text
 
 
-def sample_model(documents: DataFrame, per_language: int = 400) -> Plausibility:
-    """Learns from at most ``per_language`` labelled documents of each language, chosen by hash of doc_id.
+def corpus_model(documents: DataFrame, most_pairs: int = 1 << 18) -> Plausibility:
+    """Counts the character pairs of all ``documents(text)``; null texts hold none.
 
-    The number of languages is bounded by 64 as well; both bounds hold at any input size.
+    Each partition adds up its pairs first; the driver sees the ``most_pairs`` most frequent and the
+    total.  An alphabet has a few hundred pairs, Japanese some ten thousand.
     """
-    known = documents.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+        shown = lambda: pd.DataFrame({"pair": pd.Series(list(counts), dtype=object), "n": list(counts.values())})
+        for batch in batches:
+            for text in batch["text"]:
+                counts.update(_pairs(text))
+            if len(counts) > 500_000:
+                yield shown()
+                counts.clear()
+        if counts:
+            yield shown()
+
+    known = documents.select("text").where(F.octet_length("text") != F.length("text"))
+    pairs = cut(known.mapInPandas(count, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n")))
+    total = pairs.agg(F.sum("n")).first()[0] or 0
+    return Plausibility.counted({r["pair"]: r["n"] for r in pairs.orderBy(F.desc("n"), "pair").limit(most_pairs).collect()}, total)
+
+
+def sample_model(documents: DataFrame, per_language: int = 400) -> Plausibility:
+    """The model of at most ``per_language`` labelled documents of each language, by hash of doc_id; for trying things out on a part of a corpus."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = known.select("lang", "doc_id", "text").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("text").limit(64 * per_language)
-    return Plausibility.learn(r["text"] for r in rows.toLocalIterator())
+    known = documents.select("doc_id", "lang", "text").where(F.col("lang").isNotNull())
+    return corpus_model(known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language))
 
 
 def mend(df: DataFrame, key: str, column: str, model: Plausibility) -> DataFrame:
@@ -300,7 +384,7 @@ def mend(df: DataFrame, key: str, column: str, model: Plausibility) -> DataFrame
                 yield pd.DataFrame(rows, columns=["k", "restored"])
 
     rows = df.select(F.col(key).alias("k"), F.col(column).alias("t")).where(F.col("k").isNotNull())
-    suspicious = rows.where((F.octet_length("t") != F.length("t")) | F.col("t").contains("\\u"))
+    suspicious = rows.where((F.octet_length("t") != F.length("t")) | F.col("t").contains("\\u") | F.col("t").rlike(_ENTITY.pattern))
     return suspicious.mapInPandas(run, f"k {kind}, restored string").dropDuplicates(["k"]).withColumnRenamed("k", key)
 
 

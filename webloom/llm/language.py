@@ -31,14 +31,16 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _DROP = re.compile(r"[\d�]+|\S*[/@]\S*|[(“\"«].{0,80}?[)”\"»]")
 
 
-def labelled_sample(documents: DataFrame, per_language: int = 400) -> list[tuple[str, str]]:
-    """``(lang, text)`` of at most ``per_language`` labelled documents of each of at most 64 languages.
+def labelled_sample(documents: DataFrame, per_language: int = 400, languages: int = 64, most_signs: int = 50_000) -> list[tuple[str, str]]:
+    """``(lang, text)`` of at most ``per_language`` labelled documents of each of the ``languages`` most frequent languages.
 
-    Documents are chosen by the hash of doc_id; both bounds hold at any input size.
+    Documents of at most ``most_signs`` signs are chosen by the hash of doc_id; all bounds hold at any input size.
     """
     known = documents.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull())
+    named = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    known = known.where(F.length("text") <= most_signs).join(F.broadcast(named), "lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).select("lang", "text").limit(64 * per_language)
+    rows = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language).orderBy("lang", "rank").select("lang", "text")
     return [(r["lang"], r["text"]) for r in rows.toLocalIterator()]
 
 

@@ -13,7 +13,7 @@ from webloom.sources.tables import spread, table
 
 
 def p1_pages(spark: SparkSession, root: str) -> DataFrame:
-    model = encoding.sample_model(table(spark, root, "documents"))
+    model = encoding.corpus_model(spread(table(spark, root, "documents")))
     return residue.residue(spread(table(spark, root, "extracted_pages")), model)
 
 
@@ -48,7 +48,7 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_restored(spark: SparkSession, root: str) -> DataFrame:
-    model = encoding.sample_model(table(spark, root, "documents"))
+    model = encoding.corpus_model(spread(table(spark, root, "documents")))
     return encoding.found(spread(table(spark, root, "fetch_results")), spread(table(spark, root, "extracted_pages")), model)
 
 
@@ -69,19 +69,19 @@ def p5_cleaned(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
-    model = encoding.sample_model(table(spark, root, "documents"))
+    model = encoding.corpus_model(spread(table(spark, root, "documents")))
     return boilerplate.furniture_lines(spread(table(spark, root, "extracted_pages")), spread(table(spark, root, "fetch_results")), model)
 
 
 def p6_bodies(spark: SparkSession, root: str) -> DataFrame:
-    model = encoding.sample_model(table(spark, root, "documents"))
+    model = encoding.corpus_model(spread(table(spark, root, "documents")))
     return boilerplate.bodies(spread(table(spark, root, "extracted_pages")), spread(table(spark, root, "fetch_results")), model)
 
 
 def p7_segments(spark: SparkSession, root: str) -> DataFrame:
     sample = language.labelled_sample(table(spark, root, "documents"))
     model, _ = language.train(sample)
-    sound = encoding.Plausibility.learn(text for _, text in sample)
+    sound = encoding.corpus_model(spread(table(spark, root, "documents")))
     return language.page_segments(spread(table(spark, root, "extracted_pages")), model, sound)
 
 

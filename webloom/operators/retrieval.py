@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from webloom.sources.tables import checked_broadcast
+
 #: Base vectors and queries of one key that one task compares; larger keys are cut into slices of both.
 SLICE_ROWS, QUERY_ROWS = 20_000, 2_000
 
 
 def _sliced(df: DataFrame, key: str, rows: int, name: str) -> tuple[DataFrame, DataFrame]:
     """``df`` with the number of its slice, and ``key, name`` of the keys of more than one slice: at most one row for each ``rows`` of df."""
-    many = df.groupBy(key).agg(F.ceil(F.count("*") / rows).cast("int").alias(name)).where(F.col(name) > 1)
+    many = checked_broadcast(df.groupBy(key).agg(F.ceil(F.count("*") / rows).cast("int").alias(name)).where(F.col(name) > 1))
     numbered = df.join(many, key, "left").withColumn(f"{name}_no", F.pmod(F.xxhash64("id"), F.coalesce(F.col(name), F.lit(1))).cast("int")).drop(name)
     return numbered, many
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -78,6 +79,12 @@ def cut_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checked_broadcast(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """``df``, written first, for broadcasting where it has at most ``most_rows`` rows; a larger one is joined by shuffle."""
+    kept = cut(df)
+    return F.broadcast(kept) if kept.count() <= most_rows else kept
+
+
 def _keep(spark: SparkSession, path: str) -> None:
     import atexit
 

@@ -360,7 +360,8 @@ def difference(group: pd.DataFrame) -> pd.DataFrame:
     # a run of labels is deleted if it holds a shared line, or links in the place of deleted links of other pages
     seeded = [[any(sure[n] and n not in p.alone for n in run) for run in p.runs] for p, sure in zip(pages, told)]
     slots = {slot for p, sure in zip(pages, seeded) for run, slot, yes in zip(p.runs, p.slots(), sure) if yes and p.links(run)}
-    seeded = [[yes or (p.links(run) and slot in slots) for run, slot, yes in zip(p.runs, p.slots(), sure)] for p, sure in zip(pages, seeded)]
+    only = len(pages) == 1  # a page that is alone on its host can't be compared: its links are judged by the layout
+    seeded = [[yes or (p.links(run) and (only or slot in slots)) for run, slot, yes in zip(p.runs, p.slots(), sure)] for p, sure in zip(pages, seeded)]
     rows = [row for k, page in enumerate(pages) if not page.edge for row in judge_page(page, told[k], seeded[k], deleted)]
     return pd.DataFrame(rows, columns=["fetch_id", "line_no", "state", "run", "parts"])
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from webloom.llm.common import utf8_size
+from webloom.sources.tables import checked_broadcast
 
 #: Slices of the hash-random key space in each source.
 KEY_SLICES = 1024
@@ -51,7 +52,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     """
     keyed = (
         _sized(documents)
-        .join(F.broadcast(_targets(targets).select("source")), "source")
+        .join(checked_broadcast(_targets(targets).select("source")), "source")
         .withColumn("key", F.xxhash64(F.lit(seed), "doc_id"))
         .withColumn("slice", F.shiftrightunsigned("key", 54).cast("int"))
     )
@@ -59,9 +60,9 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     plan = _plan(slices.select("source", F.col("slice_size").alias("size")), _targets(targets))
     # at most KEY_SLICES rows for each of the few sources in the targets table
     before = F.sum("slice_size").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = slices.withColumn("before", F.coalesce(before, F.lit(0))).drop("slice_size").join(F.broadcast(plan.select("source", "available", "budget", "max_repeats")), "source")
+    offsets = slices.withColumn("before", F.coalesce(before, F.lit(0))).drop("slice_size").join(checked_broadcast(plan.select("source", "available", "budget", "max_repeats")), "source")
     inner = F.sum("size").over(Window.partitionBy("source", "slice").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    placed = keyed.withColumn("inner", F.coalesce(inner, F.lit(0))).join(F.broadcast(offsets), ["source", "slice"]).withColumn("start", F.col("before") + F.col("inner"))
+    placed = keyed.withColumn("inner", F.coalesce(inner, F.lit(0))).join(checked_broadcast(offsets), ["source", "slice"]).withColumn("start", F.col("before") + F.col("inner"))
     epochs = F.least(F.col("max_repeats"), F.ceil((F.col("budget") - F.col("start")) / F.greatest(F.col("available"), F.lit(1)))).cast("int")
     return (
         placed.withColumn("epochs", epochs)
@@ -77,7 +78,7 @@ def mix_report(documents: DataFrame, targets: DataFrame, seed: int = 7) -> DataF
     ``short`` says that the source can't reach its share even at max_repeats.
     """
     sizes = _sized(documents)
-    plan = _plan(sizes.join(F.broadcast(_targets(targets).select("source")), "source"), _targets(targets))
+    plan = _plan(sizes.join(checked_broadcast(_targets(targets).select("source")), "source"), _targets(targets))
     used = mix(documents, targets, seed).groupBy("source").agg(F.sum("size").alias("size"), F.max("epoch").alias("repeats"))
     joined = plan.join(used, "source", "left").fillna({"size": 0, "repeats": 0})
     all_used = F.sum("size").over(Window.partitionBy(F.lit(1)))

@@ -133,7 +133,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WORDS = r"len(list_filter(string_split_regex({}, '[ \t\r\n]+'), lambda w: w <> ''))"
 
 
+_BREAKS = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
 def oracle_sql() -> dict[str, str]:
+    normal = lambda x: f"regexp_replace(lower(trim(regexp_replace({x}, '{_BREAKS}', ' ', 'g'))), '[0-9]+', '#', 'g')"
     sizes = "(SELECT DISTINCT doc_id, source, coalesce(octet_length(encode(text)), 0) AS size FROM documents)"
     return {
         "p3_found": f"""SELECT DISTINCT 'page' AS item_kind, CAST(fetch_id AS VARCHAR) AS item_id FROM extracted_pages WHERE {_WORDS.format("clean_text")} > 600
@@ -142,6 +146,21 @@ def oracle_sql() -> dict[str, str]:
             l AS (SELECT DISTINCT company_id, page_id, regexp_replace(lower(trim(regexp_replace(unnest(string_split(clean_text, chr(10))), '[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))), '[0-9]+', '#', 'g') AS line_norm FROM p),
             n AS (SELECT company_id, count(DISTINCT page_id) AS pages FROM p GROUP BY company_id)
             SELECT l.company_id, line_norm FROM l JOIN n USING (company_id) WHERE line_norm <> '' GROUP BY l.company_id, line_norm, pages HAVING count(*) >= 5 AND count(*) >= 0.2 * pages""",
+        "p2_found": f"""WITH w AS (SELECT DISTINCT page_id, list_filter(string_split_regex(lower(clean_text), '{_BREAKS}'), lambda x: x <> '') AS w FROM scanned_pages WHERE page_id IS NOT NULL AND clean_text IS NOT NULL),
+            t AS (SELECT w, row_number() OVER () AS text FROM (SELECT DISTINCT w FROM w)),
+            s AS (SELECT text, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: hash(w[i], w[i + 1], w[i + 2])))) AS shingle FROM t),
+            n AS (SELECT text, count(*) AS n FROM s GROUP BY text),
+            c AS (SELECT a.text AS a, b.text AS b, count(*) AS met FROM s a JOIN s b ON a.shingle = b.shingle AND a.text < b.text GROUP BY ALL),
+            near AS (SELECT a, b FROM c JOIN n x ON x.text = a JOIN n y ON y.text = b WHERE met >= 0.7 * (x.n + y.n - met)),
+            p AS (SELECT page_id, text FROM w JOIN t USING (w))
+            SELECT least(x.page_id, y.page_id) AS page_id_a, greatest(x.page_id, y.page_id) AS page_id_b FROM near JOIN p x ON x.text = a JOIN p y ON y.text = b
+            UNION ALL SELECT x.page_id, y.page_id FROM p x JOIN p y ON x.text = y.text AND x.page_id < y.page_id""",
+        "p5_cleaned": f"""WITH p AS (SELECT DISTINCT ON (page_id) page_id, company_id, clean_text FROM scanned_pages WHERE page_id IS NOT NULL),
+            l AS (SELECT DISTINCT company_id, page_id, {normal("unnest(string_split(clean_text, chr(10)))")} AS line_norm FROM p),
+            n AS (SELECT company_id, count(*) AS pages FROM p GROUP BY company_id),
+            f AS (SELECT company_id, list(line_norm) AS lines FROM (SELECT l.company_id, line_norm FROM l JOIN n USING (company_id) WHERE line_norm <> '' GROUP BY l.company_id, line_norm, pages HAVING count(*) >= 5 AND count(*) >= 0.2 * pages) GROUP BY company_id)
+            SELECT page_id, p.company_id, CASE WHEN lines IS NULL THEN clean_text ELSE array_to_string(list_filter(string_split(clean_text, chr(10)), lambda x: NOT list_contains(lines, {normal("x")})), chr(10)) END AS clean_text,
+            CASE WHEN lines IS NULL OR clean_text IS NULL THEN 0 ELSE len(list_filter(string_split(clean_text, chr(10)), lambda x: list_contains(lines, {normal("x")}))) END AS removed_lines FROM p LEFT JOIN f USING (company_id)""",
         "p8_found": "SELECT DISTINCT doc_id FROM documents WHERE octet_length(encode(text)) > (SELECT max_size FROM size_limits WHERE limit_name = 'container')",
         "p9_found": f"""WITH b AS (SELECT m.source, m.target_share, m.max_repeats, coalesce(sum(d.size), 0) AS size FROM mix_targets m LEFT JOIN {sizes} d ON d.source = m.source GROUP BY ALL)
             SELECT source FROM b WHERE target_share * (SELECT sum(size) FROM b) > max_repeats * size""",

@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from webloom.llm.neardup import _Filter, key_filter
-from webloom.sources.tables import cut, cut_table
+from webloom.sources.tables import checked_broadcast, cut, cut_table
 
 _SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-#: Pages of one source are spread over this many join partitions.
-SALT = 16
+#: Pages of a source that meet its lines in one partition; those of a larger source are spread over several.
+SOURCE_PAGES = 20_000
 
 
 def normal_line(line: Column) -> Column:
@@ -48,6 +48,17 @@ def least_support(pages: DataFrame, least_pages: int, least_share: float) -> Dat
     return counted.withColumn("least", F.greatest(F.lit(least_pages), F.ceil(F.col("pages") * F.lit(least_share) - F.lit(1e-9))).cast("bigint"))
 
 
+def _salted(rows: DataFrame, lines: DataFrame, page: Column) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with a ``salt``, and ``lines`` (a row a source) once for each salt of its source.
+
+    Only sources of more than SOURCE_PAGES rows have several: at most one for each SOURCE_PAGES rows.
+    """
+    large = checked_broadcast(rows.groupBy("company_id").agg(F.ceil(F.count("*") / SOURCE_PAGES).cast("int").alias("salts")).where("salts > 1"))
+    salts = F.coalesce("salts", F.lit(1))
+    spread = rows.join(large, "company_id", "left").withColumn("salt", F.pmod(page, salts).cast("int")).drop("salts")
+    return spread, lines.join(large, "company_id", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+
+
 def frequent_lines(pages: DataFrame, least_pages: int = 5, least_share: float = 0.2) -> DataFrame:
     """``company_id, line, line_norm, support``: the frequent sequences of one line.
 
@@ -158,8 +169,8 @@ def _closed(pages: DataFrame, least_pages: int, least_share: float) -> tuple[Dat
     single = cut(counted.where(F.col("support") >= least_pages).join(needed, "company_id").where("support >= least"))
     least = single.select("company_id", "least").distinct()
     # a source's frequent lines: at most 1 / least_share times the lines of its mean page
-    lines = single.groupBy("company_id").agg(F.collect_set("line").alias("frequent")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    joined = texts.withColumn("salt", F.pmod("page", F.lit(SALT)).cast("int")).join(lines, ["company_id", "salt"])
+    spread, lines = _salted(texts, single.groupBy("company_id").agg(F.collect_set("line").alias("frequent")), F.col("page"))
+    joined = spread.join(lines, ["company_id", "salt"])
     reduced = F.array_distinct(F.transform("texts", lambda t: F.filter(t, lambda x: F.array_contains("frequent", x))))
     rows = joined.select("company_id", F.array_sort(F.filter(reduced, lambda t: F.size(t) > 0)).alias("texts")).where(F.size("texts") > 0)
     rows = cut(rows.groupBy("company_id", "texts").agg(F.count("*").alias("pages")))
@@ -224,9 +235,8 @@ def without_repeated_lines(pages: DataFrame, least_pages: int = 5, least_share:
     """
     mined = _closed(pages, least_pages, least_share)[0].select("company_id", F.explode("prefix").alias("line"))
     lines = mined.groupBy("company_id").agg(F.collect_set("line").alias("frequent"))
-    salted = lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    rows = pages.select("page_id", "company_id", "clean_text").where(F.col("page_id").isNotNull()).dropDuplicates(["page_id"]).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int"))
-    joined = rows.join(salted, ["company_id", "salt"], "left")
+    rows, salted = _salted(pages.select("page_id", "company_id", "clean_text").where(F.col("page_id").isNotNull()), lines, F.xxhash64("page_id"))
+    joined = rows.dropDuplicates(["page_id"]).join(salted, ["company_id", "salt"], "left")
     all_lines = F.split("clean_text", "\n")
     kept = F.filter(all_lines, lambda x: ~F.array_contains("frequent", F.xxhash64(normal_line(x))))
     text = F.when(F.col("frequent").isNull(), F.col("clean_text")).otherwise(F.array_join(kept, "\n"))

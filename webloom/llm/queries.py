@@ -37,6 +37,11 @@ def p2_groups(spark: SparkSession, root: str) -> DataFrame:
     return neardup.groups(_page_texts(spark, root), SIMILAR_PAGES)
 
 
+def p2_weighted(spark: SparkSession, root: str) -> DataFrame:
+    """Groups by the weighted similarity of runs of five words, 0.8 or more."""
+    return neardup.groups(_page_texts(spark, root), neardup.Settings(similarity="weights"))
+
+
 def p3_pieces(spark: SparkSession, root: str) -> DataFrame:
     size, overlap = limit(spark, root, "chunk")
     items = splitting.pages_and_chunks(spread(table(spark, root, "extracted_pages")), table(spark, root, "chunks"))
@@ -126,7 +131,7 @@ def p10_rates(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [p1_found, p1_pages, p2_found, p2_groups, p3_found, p3_pieces, p4_found, p4_restored, p5_found, p5_sequences, p5_cleaned, p6_found, p6_bodies, p7_found, p7_segments, p8_found, p8_containers, p8_fill, p9_found, p9_mixture, p9_report, p10_found, p10_flags, p10_rates]
+    named = [p1_found, p1_pages, p2_found, p2_groups, p2_weighted, p3_found, p3_pieces, p4_found, p4_restored, p5_found, p5_sequences, p5_cleaned, p6_found, p6_bodies, p7_found, p7_segments, p8_found, p8_containers, p8_fill, p9_found, p9_mixture, p9_report, p10_found, p10_flags, p10_rates]
     return {f.__name__: f for f in named}
 
 

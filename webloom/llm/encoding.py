@@ -289,6 +289,19 @@ class Repair:
             return True
         return sum(a != b for a, b in zip(before, after)) >= 3
 
+    def _doubtful(self, line: str) -> bool:
+        if line.isascii():
+            return "\\u" in line or ("&" in line and _ENTITY.search(line) is not None)
+        return not self.model.sound(line)
+
+    def _mended_by(self, line: str, routes) -> tuple[tuple, str | None]:
+        """The first of some recodings that makes the line sound, and the sound line."""
+        for route in routes:
+            same = follow(line, route)
+            if same is not None and same != line and self.model.sound(same) and self._convinces(line, same):
+                return route, same
+        return (), None
+
     def _field_route(self, routes: list[tuple], lines: list[str]) -> tuple[tuple, dict[str, str | None]]:
         """Of some recodings the one after which the damaged lines cost least together, and what it makes of each."""
         best, least, mended = (), math.inf, {}
@@ -307,18 +320,23 @@ class Repair:
         """
         if text.isascii() and "\\u" not in text and not _ENTITY.search(text):
             return False, text
-        found, gained = [], Counter()
-        for part in _PART.finditer(text):
+        unsound = [part for part in _PART.finditer(text) if self._doubtful(part.group())]
+        found, gained = {}, Counter()
+        for part in sorted(unsound, key=lambda p: (p.start() - p.end(), p.start())):  # the longest tell most
             line = part.group()
-            bad, better, route = self._read(line)
-            found.append((part, bad, better))
+            route, same = self._mended_by(line, gained)
             if route:
-                gained[route] += len(_pairs(line))
+                found[part.start()] = True, same
+            else:
+                bad, better, route = self._read(line)
+                found[part.start()] = bad, better
+            if route:
+                gained[route] += len(line)
+        best, mended = self._field_route(sorted(gained, key=lambda r: (-gained[r], r))[:8], [part.group() for part in unsound if found[part.start()][0]])
         damaged, parts, at = False, [], 0
-        best, mended = self._field_route(sorted(gained, key=lambda r: (-gained[r], r))[:8], [part.group() for part, bad, _ in found if bad])
-        for part, bad, better in found:
-            line = part.group()
-            if best and not line.isascii() and not self.model.sound(line):
+        for part in unsound:
+            line, (bad, better) = part.group(), found[part.start()]
+            if best and not line.isascii():
                 same = mended[line] if line in mended else follow(line, best)
                 # a line that is damaged in any case may hold signs that no document has
                 if same is not None and same != line and self._convinces(line, same) and (self.model.sound(same) or (bad and self.model.cost(same) <= 0.8 * self.model.cost(line))):
@@ -341,8 +359,12 @@ def corpus_model(documents: DataFrame, most_pairs: int = 1 << 18) -> Plausibilit
         counts: Counter = Counter()
         shown = lambda: pd.DataFrame({"pair": pd.Series(list(counts), dtype=object), "n": list(counts.values())})
         for batch in batches:
+            spans: Counter = Counter()
             for text in batch["text"]:
-                counts.update(_pairs(text))
+                spans.update(_SPAN.findall(f" {text}"))
+            for span, n in spans.items():
+                for pair in zip(span, span[1:]):
+                    counts["".join(pair)] += n
             if len(counts) > 500_000:
                 yield shown()
                 counts.clear()

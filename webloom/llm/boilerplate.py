@@ -116,7 +116,11 @@ def layout_tokens(fetched: DataFrame, model: Plausibility) -> DataFrame:
             rows = []
             for fetch_id, source in zip(batch["fetch_id"], batch["html"]):
                 shown = markup.lines(source)
-                rows.append((fetch_id, _pack([_hash(repair.line(t)[1]) for t, _, _ in shown]), bytes(k for _, k, _ in shown)))
+                texts = [t for t, _, _ in shown]
+                mended = repair.text("\n".join(texts))[1].split("\n")  # as one field: its lines are damaged alike
+                if len(mended) != len(texts):
+                    mended = [repair.line(t)[1] for t in texts]
+                rows.append((fetch_id, _pack([_hash(t) for t in mended]), bytes(k for _, k, _ in shown)))
             yield pd.DataFrame(rows, columns=["fetch_id", "shown", "kinds"])
 
     known = fetched.select("fetch_id", "html").where(F.col("fetch_id").isNotNull() & F.col("html").isNotNull())
